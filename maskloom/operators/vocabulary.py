@@ -11,7 +11,7 @@ from pyspark.sql import types as ST
 from pyspark.storagelevel import StorageLevel
 
 from maskloom.functions import text as T
-from maskloom.session import shared_dir
+from maskloom.session import shared_dir, spread
 
 CONTINUATION = "##"
 ALPHABET_LIMIT = 1000
@@ -183,6 +183,24 @@ def _start_state(counts: DataFrame, tokens: dict[str, int], chars: Sequence[str]
     return counts.select(packed.alias("packed"), "cnt").where(F.length("packed") > 1)
 
 
+def _cut(state: DataFrame) -> DataFrame:
+    """End the lineage in the shared folder and keep a cached copy spread over all cores."""
+    return spread(state.checkpoint(), "packed").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _merge(state: DataFrame, edits: Sequence[tuple[str, str]], step: int = 8) -> DataFrame:
+    """Replace each pair of symbols by its token, from left to right.
+
+    The chain is filled up to a multiple of ``step`` with edits of a symbol that no word holds, so that most
+    rounds have a plan of the same shape and reuse its compiled code.
+    """
+    packed = F.col("packed")
+    idle = [("\x00\x00", "\x00")] * (-len(edits) % step)
+    for pair, token in [*edits, *idle]:
+        packed = F.replace(packed, F.lit(pair), F.lit(token))
+    return state.select(packed.alias("packed"), "cnt").where(F.length("packed") > 1)
+
+
 def _best_pairs(state: DataFrame, min_frequency: int, limit: int) -> list[tuple[int, int, int]]:
     """The most frequent pairs of token ids with their counts, ties to the lower ids."""
     pairs = F.transform(F.sequence(F.lit(1), F.length("packed") - 1), lambda i: F.substring("packed", i, F.lit(2)))
@@ -276,10 +294,10 @@ def train(
     merges: list[tuple[str, str]] = []
     rounds = 0
 
-    state = _start_state(counts, tokens, chars, continuation).checkpoint().persist(StorageLevel.MEMORY_AND_DISK)
-    current = state
+    state = _cut(_start_state(counts, tokens, chars, continuation))
+    held = [state]
     while len(tokens) < vocab_size:
-        ranked = _best_pairs(current, min_frequency, candidates)
+        ranked = _best_pairs(state, min_frequency, candidates)
         if not ranked:
             break
         room = vocab_size - len(tokens)
@@ -287,21 +305,23 @@ def train(
             chosen = _undisturbed(ranked, names, tokens, continuation, room)
         else:
             chosen = _close_to_best(ranked, rho, room)
-        packed = F.col("packed")
+        edits = []
         for left, right in chosen:
             token = _joined(names[left], names[right], continuation)
             merges.append((names[left], names[right]))
             if token not in tokens:
                 tokens[token] = len(tokens)
                 names.append(token)
-            packed = F.replace(packed, F.lit(_symbol(left) + _symbol(right)), F.lit(_symbol(tokens[token])))
-        current = current.withColumn("packed", packed)
+            edits.append((_symbol(left) + _symbol(right), _symbol(tokens[token])))
         rounds += 1
-        if rounds % cut_every == 0:
-            fresh = current.where(F.length("packed") > 1).checkpoint().persist(StorageLevel.MEMORY_AND_DISK)
-            state.unpersist()
-            state = current = fresh
-    state.unpersist()
+        merged = _merge(state, edits)
+        merged = _cut(merged) if rounds % cut_every == 0 else merged.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(merged)
+        state = merged
+        if len(held) > 2:
+            held.pop(0).unpersist()
+    for frame in held:
+        frame.unpersist()
     return Vocabulary(tokens, merges, rounds)
 
 
