@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import tokens as K
 from maskloom.operators.ordering import running_total
+from maskloom.session import materialise
 
 
 def token_windows(
@@ -54,6 +55,7 @@ def window_sizes(
     Positions follow from running totals over documents; the ids themselves are not moved.
     """
     per_document = windows_per_document(encoded.select(key, ids), ids, max_length, overlap)
+    per_document = materialise(per_document, "document-sizes")
     placed = running_total(per_document, key, F.col("n_windows"), "before")
     every = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("win"))
     return every.select(
