@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Sequence
 from functools import cache
 
 from pyspark.sql import Column
@@ -12,15 +13,20 @@ from pyspark.sql import functions as F
 # The special tokens, in id order.
 SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "<S>", "<T>"]
 
+# Of these, the ones that a stored vocabulary treats as special when it is loaded again.
+RELOADED_SPECIALS = SPECIAL_TOKENS[:5]
+
 # Block ranges whose characters are words of their own.
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}"
 # Unicode punctuation plus the ASCII symbols treated as punctuation.
 PUNCTUATION = r"\p{P}$+<=>^`|~"
-# Fixed value: the published split pattern of byte-level BPE.
-BYTE_LEVEL_SPLIT = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\x{85}\p{Z}\p{L}\p{N}]+"
-    r"|[\s\x{85}\p{Z}]+(?![^\s\x{85}\p{Z}])|[\s\x{85}\p{Z}]+"
-)
+# Format characters too new for the published normaliser, which keeps them.
+NEWER_FORMAT = r"\x{890}\x{891}\x{8E2}\x{110CD}\x{13430}-\x{1343F}"
+
+# A special token written out in a text stands as one character while the text is split. WordPiece normalising drops
+# private-use characters, so there they are free; byte-level splitting drops nothing and takes noncharacters.
+WORDPIECE_MARKS = [chr(0xE000 + i) for i in range(len(SPECIAL_TOKENS))]
+BYTE_LEVEL_MARKS = [chr(0xFDD0 + i) for i in range(len(SPECIAL_TOKENS))]
 
 
 @cache
@@ -80,10 +86,18 @@ def quality_at_least(quality: Column, threshold: float) -> Column:
     return (quality >= F.lit(threshold)) & ~F.isnan(quality)
 
 
+def mark_specials(text: Column, special_tokens: Sequence[str], marks: Sequence[str]) -> Column:
+    """Put a mark in the place of each special token that is written out in the text."""
+    for token in special_tokens:
+        text = F.replace(text, F.lit(token), F.lit(marks[SPECIAL_TOKENS.index(token)]))
+    return text
+
+
 def normalise(text: Column, lowercase: bool = True, strip_accents: bool = True) -> Column:
-    """Drop control and format characters, then strip accents and lower the case."""
-    marks = r"\p{Mn}" if strip_accents else ""
-    out = F.regexp_replace(text, rf"[\p{{Cc}}\p{{Cf}}\p{{Co}}\p{{Cn}}{marks}\x{{FFFD}}&&[^\t\n\r]]", "")
+    """Drop control and format characters, then strip accents and lower the case. Marks stay."""
+    accents = r"\p{Mn}" if strip_accents else ""
+    kept = rf"\t\n\r{NEWER_FORMAT}" + "".join(WORDPIECE_MARKS)
+    out = F.regexp_replace(text, rf"[\p{{Cc}}\p{{Cf}}\p{{Co}}{accents}\x{{FFFD}}&&[^{kept}]]", "")
     if strip_accents:
         out = F.translate(out, *_accent_map())
     if lowercase:
@@ -93,21 +107,52 @@ def normalise(text: Column, lowercase: bool = True, strip_accents: bool = True)
 
 
 def split_words(text: Column) -> Column:
-    """Words, single punctuation characters and single CJK characters, in order."""
-    pattern = rf"[^\s\p{{Z}}{PUNCTUATION}{CJK}]+|[{PUNCTUATION}{CJK}]"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Words, single punctuation characters, CJK characters and marks, in order."""
+    alone = f"{PUNCTUATION}{CJK}{''.join(WORDPIECE_MARKS)}"
+    return F.regexp_extract_all(text, F.lit(rf"[^\s\p{{Z}}{alone}]+|[{alone}]"), F.lit(0))
 
 
-def bert_words(text: Column, lowercase: bool = True, strip_accents: bool = True) -> Column:
-    """Array of the words that a WordPiece vocabulary is trained on and applied to."""
-    return split_words(normalise(text, lowercase, strip_accents))
+def bert_words(
+    text: Column, lowercase: bool = True, strip_accents: bool = True, special_tokens: Sequence[str] = ()
+) -> Column:
+    """Array of the words that a WordPiece vocabulary is trained on and applied to.
 
+    ``special_tokens`` written out in the text become marks, as when encoding; training knows none yet.
+    """
+    clean = F.translate(text, "".join(WORDPIECE_MARKS), "")
+    return split_words(normalise(mark_specials(clean, special_tokens, WORDPIECE_MARKS), lowercase, strip_accents))
+
+
+def _byte_level_pattern(marks: str = "") -> str:
+    """The published split pattern of byte-level BPE, with each mark as a word of its own."""
+    space = r"\s\x{85}\p{Z}"
+    alone = f"[{marks}]|" if marks else ""
+    return (
+        rf"{alone}'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}{marks}]+"
+        rf"|[{space}]+(?![^{space}{marks}])|[{space}]+"
+    )
 
-def byte_level_words(text: Column) -> Column:
-    """Array of byte-level pre-tokens, each byte written as its printable symbol."""
-    words = F.regexp_extract_all(text, F.lit(BYTE_LEVEL_SPLIT), F.lit(0))
+
+def _byte_level_symbols(word: Column) -> Column:
     latin = "".join(chr(b) for b in range(256))
-    return F.transform(
-        words,
-        lambda w: F.translate(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), latin, byte_symbols()),
+    return F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), latin, byte_symbols())
+
+
+def byte_level_words(text: Column, special_tokens: Sequence[str] = ()) -> Column:
+    """Array of byte-level pre-tokens, each byte written as its printable symbol.
+
+    In a text that holds a mark character itself, special tokens are taken as plain text.
+    """
+
+    def split(source: Column, marks: str) -> Column:
+        return F.regexp_extract_all(source, F.lit(_byte_level_pattern(marks)), F.lit(0))
+
+    plain = F.transform(split(text, ""), _byte_level_symbols)
+    if not special_tokens:
+        return plain
+    marks = "".join(BYTE_LEVEL_MARKS)
+    marked = F.transform(
+        split(mark_specials(text, special_tokens, BYTE_LEVEL_MARKS), marks),
+        lambda w: F.when(w.isin(BYTE_LEVEL_MARKS), w).otherwise(_byte_level_symbols(w)),
     )
+    return F.when(text.rlike(f"[{marks}]"), plain).otherwise(marked)

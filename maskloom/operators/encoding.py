@@ -7,7 +7,7 @@ their share. Distinct words alone are encoded by joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -80,44 +80,62 @@ def _encode_batches(
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], encoded], [*kept, out])
 
 
-def _encode(df: DataFrame, words: Column, out: str, make: Callable[[], Callable[[str], list[int]]]) -> DataFrame:
-    source = df.withColumn("_words", words)
-    fields = [f for f in source.schema.fields if f.name != "_words"]
-    schema = ST.StructType([*fields, ST.StructField(out, IDS)])
+def _encode(
+    df: DataFrame, text: str, words: Column, out: str, make: Callable[[], Callable[[str], list[int]]]
+) -> DataFrame:
+    kept = [c for c in df.columns if c != text]
+    schema = ST.StructType([*[df.schema[c] for c in kept], ST.StructField(out, IDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _encode_batches(batches, "_words", out, make())
 
-    return source.mapInArrow(run, schema)
+    return df.select(*kept, words.alias("_words")).mapInArrow(run, schema)
+
+
+def _with_marks(vocabulary: Vocabulary, special_tokens: Sequence[str], marks: Sequence[str]) -> dict[str, int]:
+    marked = {marks[T.SPECIAL_TOKENS.index(t)]: vocabulary.tokens[t] for t in special_tokens}
+    return {**vocabulary.tokens, **marked}
 
 
 def encode_wordpiece(
-    df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids", **normalisation: bool
+    df: DataFrame,
+    vocabulary: Vocabulary,
+    text: str = "text",
+    out: str = "ids",
+    special_tokens: Sequence[str] = T.RELOADED_SPECIALS,
+    **normalisation: bool,
 ) -> DataFrame:
-    """Add the WordPiece ids of ``text``, without special tokens, and drop the text."""
-    shared = df.sparkSession.sparkContext.broadcast((vocabulary.tokens, vocabulary.longest_piece))
+    """Replace ``text`` by its WordPiece ids, without opening and closing tokens.
+
+    ``special_tokens`` written out in a text get their own id.
+    """
+    known = (_with_marks(vocabulary, special_tokens, T.WORDPIECE_MARKS), vocabulary.longest_piece)
+    shared = df.sparkSession.sparkContext.broadcast(known)
 
     def make() -> Callable[[str], list[int]]:
         tokens, longest = shared.value
         return lambda word: wordpiece_ids(word, tokens, longest)
 
-    rest = df.select(*[c for c in df.columns if c != text], F.col(text).alias("_text"))
-    words = T.bert_words(F.col("_text"), **normalisation)
-    return _encode(rest.withColumn("_words", words).drop("_text"), F.col("_words"), out, make)
+    words = T.bert_words(F.col(text), special_tokens=special_tokens, **normalisation)
+    return _encode(df, text, words, out, make)
 
 
-def encode_byte_level(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the byte-level BPE ids of ``text``, without special tokens, and drop the text."""
+def encode_byte_level(
+    df: DataFrame,
+    vocabulary: Vocabulary,
+    text: str = "text",
+    out: str = "ids",
+    special_tokens: Sequence[str] = T.SPECIAL_TOKENS,
+) -> DataFrame:
+    """Replace ``text`` by its byte-level BPE ids."""
     ranks = {pair: rank for rank, pair in enumerate(vocabulary.merges)}
-    shared = df.sparkSession.sparkContext.broadcast((vocabulary.tokens, ranks))
+    shared = df.sparkSession.sparkContext.broadcast((_with_marks(vocabulary, special_tokens, T.BYTE_LEVEL_MARKS), ranks))
 
     def make() -> Callable[[str], list[int]]:
         tokens, ranks = shared.value
         return lambda word: byte_level_ids(word, tokens, ranks)
 
-    rest = df.select(*[c for c in df.columns if c != text], F.col(text).alias("_text"))
-    words = T.byte_level_words(F.col("_text"))
-    return _encode(rest.withColumn("_words", words).drop("_text"), F.col("_words"), out, make)
+    return _encode(df, text, T.byte_level_words(F.col(text), special_tokens), out, make)
 
 
 def encode_words(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -198,6 +216,8 @@ def compare_tokens(
     sampled: DataFrame, key: str, first: Vocabulary, second: Vocabulary, text: str = "text"
 ) -> DataFrame:
     """WordPiece and byte-level tokens of the same texts side by side."""
-    left = pieces(encode_wordpiece(sampled.select(key, text), first), first, out="wordpiece_tokens").drop("ids")
-    right = pieces(encode_byte_level(sampled.select(key, text), second), second, out="byte_level_tokens").drop("ids")
-    return sampled.select(key, text).join(left, key).join(right, key)
+    texts = sampled.select(key, text)
+    left = encode_wordpiece(texts, first, special_tokens=T.SPECIAL_TOKENS)
+    left = pieces(left, first, out="wordpiece_tokens").drop("ids")
+    right = pieces(encode_byte_level(texts, second), second, out="byte_level_tokens").drop("ids")
+    return texts.join(left, key).join(right, key)

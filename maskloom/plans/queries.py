@@ -300,7 +300,8 @@ def wordpiece_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def oov_rate(spark: SparkSession, sf: str) -> DataFrame:
     vocab = _vocabulary(spark, sf)
-    rate = encoding.unknown_rate(encoding.encode_wordpiece(head_n(spark, sf), vocab), vocab)
+    encoded = encoding.encode_wordpiece(head_n(spark, sf), vocab, special_tokens=T.SPECIAL_TOKENS)
+    rate = encoding.unknown_rate(encoded, vocab)
     return rate.withColumn("oov_percent", F.round("oov_percent", 6))
 
 

@@ -65,7 +65,7 @@ def read_sample(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sample_array(spark: SparkSession, path: str) -> DataFrame:
     """A sample kept as one JSON array of strings per file."""
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.explode(F.from_json("value", "array<string>")).alias("text"))
 
 
@@ -76,7 +76,7 @@ def write_results(df: DataFrame, path: str) -> None:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Nested result files to one row per text."""
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     return explode_results(files, "value")
 
 
