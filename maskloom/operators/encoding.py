@@ -153,22 +153,22 @@ def encode_words(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         .withColumn("prefix", F.when(start > 0, CONTINUATION).otherwise(""))
         .withColumn("token", F.concat("prefix", F.substring("word", start + 1, F.col("size"))))
     )
+    # One row per word stays without a match, so that no word is lost; other parts that match nothing go at once.
+    found = parts.join(F.broadcast(table), "token", "left").where(
+        F.col("id").isNotNull() | ((start == 0) & (F.col("size") == 1))
+    )
     # size and id in one number, so that the aggregate finds the longest match and its id together
     match = F.shiftleft(F.col("size").cast("long"), 32) + F.col("id")
-    longest = (
-        parts.join(F.broadcast(table), "token", "left")
-        .groupBy("word", "cnt", "start")
-        .agg(F.max(match).alias("match"))
-    )
+    longest = found.groupBy("word", "cnt", "start").agg(F.max(match).alias("match"))
     # at most LONGEST_WORD entries per word
     chains = longest.groupBy("word", "cnt").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("start", "match"))), lambda e: e.match).alias("matches")
+        F.map_from_entries(F.collect_list(F.struct("start", "match"))).alias("matches")
     )
     nothing = F.array().cast(IDS)
     begin = F.struct(F.lit(0).alias("at"), nothing.alias("ids"), (F.length("word") <= LONGEST_WORD).alias("ok"))
 
     def step(state: Column, _: Column) -> Column:
-        found = F.get(F.col("matches"), state.at)
+        found = F.try_element_at(F.col("matches"), state.at)
         moved = F.struct(
             (state.at + F.shiftright(found, 32).cast("int")).alias("at"),
             F.concat(state.ids, F.array(found.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("ids"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.session import broadcast_if_small
+from maskloom.session import broadcast_if_small, materialise
 
 
 def lookup(facts: DataFrame, table: DataFrame, keys: list[str], share: float = 1e-3) -> DataFrame:
@@ -23,7 +23,7 @@ def lookup(facts: DataFrame, table: DataFrame, keys: list[str], share: float = 1
     sizes = facts.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = facts.agg(F.count("*").alias("_all"))
     limit = F.col("_n") >= F.ceil(F.lit(share) * total.scalar())
-    frequent = sizes.where(limit).select(*keys).limit(int(1 / share) + 1)
+    frequent = materialise(sizes.where(limit).select(*keys).limit(int(1 / share) + 1), "frequent-keys")
     small = table.join(F.broadcast(frequent), keys, "left_semi").limit(int(1 / share) + 1)
     ready = frequent.join(F.broadcast(small), keys, "left").withColumn("_ready", F.lit(True))
     ready = ready.select(*keys, *[F.col(v).alias(f"_{v}") for v in values], "_ready")

@@ -10,19 +10,23 @@ from maskloom.session import materialise
 # The statistics of a summary table, in order.
 DESCRIBE = ["count", "mean", "std", "min", "25%", "50%", "75%", "max", "median"]
 
+MAX_GROUPS = 1000
+
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], buckets: int = 256) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group and share.
 
     No task holds a whole group: values fall into ``buckets`` ranges, the wanted places are found from the range
-    totals, and only the ranges that hold one are sorted. Groups should be few (models, samples, splits); their
-    range limits are broadcast.
+    totals, and only the ranges that hold one are sorted. The range limits of up to ``MAX_GROUPS`` groups are
+    broadcast; more groups are joined by shuffle.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     counted = materialise(counted, "quantiles")
     limits = F.percentile_approx("_v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10 * buckets))
     groups = counted.groupBy(*by).agg(limits.alias("_limits"), F.sum("_n").alias("_total"))
-    placed = counted.join(F.broadcast(groups), by)
+    few = groups.select(*by).limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
+    hint = F.broadcast if few else lambda small: small
+    placed = counted.join(hint(groups), by)
     placed = placed.withColumn("_bucket", F.size(F.filter("_limits", lambda c: c < F.col("_v")))).drop("_limits")
     totals = placed.groupBy(*by, "_bucket", "_total").agg(F.sum("_n").alias("_size"))
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,11 +39,11 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     busy = hits.select(*by, "_bucket", "_start").distinct()
-    sorted_values = placed.join(F.broadcast(busy), [*by, "_bucket"]).withColumn(
+    sorted_values = placed.join(hint(busy), [*by, "_bucket"]).withColumn(
         "_until", F.col("_start") + F.sum("_n").over(inside)
     )
     found = sorted_values.select(*by, "_bucket", "_v", "_n", "_until").join(
-        F.broadcast(hits.drop("_start", "_size").distinct()), [*by, "_bucket"]
+        hint(hits.drop("_start", "_size").distinct()), [*by, "_bucket"]
     )
     found = found.where((F.col("_rank") < F.col("_until")) & (F.col("_rank") >= F.col("_until") - F.col("_n")))
     low, high = F.min("_v"), F.max("_v")
@@ -123,4 +127,4 @@ def compare_models(results: DataFrame, item: list[str], model: str = "model", sc
     best = valid.groupBy(*item).agg(F.min(F.struct(score, model)).alias("_best"))
     wins = best.groupBy(sample, F.col(f"_best.{model}").alias(model)).agg(F.count("*").alias("wins"))
     means = valid.groupBy(sample, model).agg(F.count("*").alias("n_texts"), F.avg(score).alias("mean_ppl"))
-    return means.join(F.broadcast(wins), [sample, model], "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
+    return means.join(wins, [sample, model], "left").withColumn("wins", F.coalesce("wins", F.lit(0)))

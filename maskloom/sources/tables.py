@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -81,13 +85,36 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_results(df: DataFrame, column: str) -> DataFrame:
-    """One row per text of a JSON column that holds a model and a map from text to score."""
+    """One row per text of a JSON column that holds a model and a map from text to score.
+
+    The JVM parser refuses names of more than 50,000 characters, and here the texts are the names. Rows it cannot
+    read go through Python, which fails on JSON that is truly broken.
+    """
     rest = [c for c in df.columns if c != column]
-    parsed = df.select(*rest, F.from_json(column, RESULT_SCHEMA).alias("_r"))
-    return parsed.select(*rest, F.col("_r.model").alias("model"), F.explode("_r.results").alias("text", "_s")).select(
-        *rest, "model", "text", F.col("_s.ppl").alias("ppl")
+    parsed = df.select(*rest, column, F.from_json(column, RESULT_SCHEMA).alias("_r"))
+    unread = parsed.where(F.col("_r.results").isNull() & F.col(column).isNotNull()).select(*rest, column)
+    read = parsed.where(F.col("_r.results").isNotNull()).select(*rest, "_r.model", F.explode("_r.results"))
+    read = read.select(*rest, "model", F.col("key").alias("text"), F.col("value.ppl").alias("ppl"))
+    schema = ST.StructType(
+        [
+            *[df.schema[c] for c in rest],
+            ST.StructField("model", ST.StringType()),
+            ST.StructField("text", ST.StringType()),
+            ST.StructField("ppl", ST.DoubleType()),
+        ]
     )
 
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [json.loads(text) for text in batch.column(column).to_pylist()]
+            rows = [(i, d.get("model"), text, s["ppl"]) for i, d in enumerate(found) for text, s in d["results"].items()]
+            at, models, texts, scores = zip(*rows) if rows else ((), (), (), ())
+            kept = batch.select(rest).take(pa.array(at, pa.int64()))
+            columns = [*kept.columns, pa.array(models, pa.string()), pa.array(texts, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return read.unionByName(unread.mapInArrow(parse, schema))
+
 
 def write_statistics(df: DataFrame, path: str) -> None:
     """Statistics as CSV, one folder per model and sample."""

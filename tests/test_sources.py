@@ -1,10 +1,11 @@
 import json
+from pathlib import Path
 
 import pytest
 from test_text import ADVERSARIAL
 
 from maskloom.operators.vocabulary import Vocabulary
-from maskloom.session import broadcast_if_small, materialise, shared_dir, spread
+from maskloom.session import broadcast_if_small, clear_scratch, materialise, shared_dir, spread
 from maskloom.sources import artifacts, tables
 
 
@@ -56,6 +57,10 @@ def test_results(spark, tmp_path):
     nested = {"model": "m", "results": {"a text": {"ppl": 1.5}, "Ærø": {"ppl": 2.0}}}
     (tmp_path / "r.json").write_text(json.dumps(nested, indent=4, ensure_ascii=False))
     assert rows_of(tables.read_results(spark, str(tmp_path / "r.json"))) == [("m", "a text", 1.5), ("m", "Ærø", 2.0)]
+    nested["results"]["long " * 20_000] = {"ppl": 3.0}
+    (tmp_path / "long.json").write_text(json.dumps(nested))
+    found = tables.read_results(spark, str(tmp_path / "long.json")).collect()
+    assert sorted((len(r["text"]), r["ppl"]) for r in found) == [(3, 2.0), (6, 1.5), (100_000, 3.0)]
     long = spark.createDataFrame([("m", "s", "t", 1.5)], "model string, sample string, text string, ppl double")
     tables.write_results(long, str(tmp_path / "out"))
     assert rows_of(spark.read.json(str(tmp_path / "out")).select("model", "ppl")) == [("m", 1.5)]
@@ -85,6 +90,10 @@ def test_added_tokens(spark, tmp_path):
 def test_session_helpers(spark):
     df = spark.range(10)
     assert rows_of(materialise(df, "t")) == rows_of(df)
+    kept = materialise(df, "t").inputFiles()[0].removeprefix("file:").removeprefix("//")
+    assert Path(kept).exists()
+    clear_scratch(spark)
+    assert not Path(kept).exists()
     assert shared_dir(spark) and spark.sparkContext.getCheckpointDir()
     assert spread(df.coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = df.repartition(50)
