@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from maskloom.session import broadcast_if_small, materialise
 
 
-def lookup(facts: DataFrame, table: DataFrame, keys: list[str], share: float = 1e-3) -> DataFrame:
+def lookup(
+    facts: DataFrame, table: DataFrame, keys: list[str], share: float = 1e-3, max_broadcast: int = 500_000
+) -> DataFrame:
     """Left join of ``facts`` with ``table``, which has one row per key.
 
-    Keys with at least ``share`` of all facts are at most ``1 / share`` many, so their rows of ``table`` are
+    A table of at most ``max_broadcast`` rows, counted first, is broadcast. Beyond that, keys with at least ``share`` of all facts are at most ``1 / share`` many, so their rows of ``table`` are
     broadcast. The other keys are shuffled, and none of them can hold more than that share. Rows found already
     go through the shuffle under keys that spread them evenly and match nothing.
 
-    ``facts`` is read twice; pass a table, not a costly plan.
+    Both sides are read more than once; pass tables, not costly plans.
     """
     if not 0 < share <= 1:
         raise ValueError("share must lie in (0, 1]")
+    if table.limit(max_broadcast + 1).count() <= max_broadcast:
+        return facts.join(F.broadcast(table), keys, "left")
     values = [c for c in table.columns if c not in keys]
     sizes = facts.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = facts.agg(F.count("*").alias("_all"))

@@ -27,9 +27,10 @@ def bigrams(windows: DataFrame, keys: list[str], ids: str = "input_ids") -> Data
     )
 
 
-def bigram_counts(windows: DataFrame, ids: str = "input_ids") -> DataFrame:
-    """Occurrences of each pair of neighbours; counting starts before the shuffle."""
-    return bigrams(windows, [], ids).groupBy("prev", "cur").agg(F.count("*").alias("cnt"))
+def bigram_counts(windows: DataFrame, by: list[str] | None = None, ids: str = "input_ids") -> DataFrame:
+    """Occurrences of each pair of neighbours, per group; counting starts before the shuffle."""
+    by = by or []
+    return bigrams(windows, by, ids).groupBy(*by, "prev", "cur").agg(F.count("*").alias("cnt"))
 
 
 def _context_counts(counts: DataFrame) -> DataFrame:
@@ -44,21 +45,39 @@ def _loss(cnt: Column, context: Column, alpha: float, vocab_size: int) -> Column
     return -F.log(share)
 
 
-def _pair_losses(pairs: DataFrame, counts: DataFrame, alpha: float, vocab_size: int) -> DataFrame:
-    """Loss of each distinct pair. Both sides have one row per pair, so no key is heavy."""
+def _pair_losses(pairs: DataFrame, counts: DataFrame, models: dict[str, float], vocab_size: int) -> DataFrame:
+    """A column with the loss of each distinct pair per model, which is a name and its ``alpha``.
+
+    Both sides have one row per pair, so no key is heavy.
+    """
     context = F.broadcast(_context_counts(counts))  # bounded by the vocabulary size
     found = pairs.join(counts, ["prev", "cur"], "left").join(context, "prev", "left")
-    loss = _loss(F.col("cnt"), F.col("context_cnt"), alpha, vocab_size)
-    return found.select(*pairs.columns, loss.alias("loss"))
+    losses = [_loss(F.col("cnt"), F.col("context_cnt"), a, vocab_size).alias(name) for name, a in models.items()]
+    return found.select(*pairs.columns, *losses)
 
 
-def bigram_losses(
-    positions: DataFrame, counts: DataFrame, vocab_size: int, alpha: float = 1.0, share: float = 1e-3
+def _position_losses(
+    positions: DataFrame, counts: DataFrame, vocab_size: int, models: dict[str, float], **options: float
 ) -> DataFrame:
-    """Loss of every position of ``bigrams``. ``positions`` should be a table, see ``lookup``."""
     pairs = positions.select("prev", "cur").distinct()
-    losses = materialise(_pair_losses(pairs, counts, alpha, vocab_size), "pair-losses")
-    return lookup(positions, losses, ["prev", "cur"], share)
+    losses = materialise(_pair_losses(pairs, counts, models, vocab_size), "pair-losses")
+    return lookup(positions, losses, ["prev", "cur"], **options)
+
+
+def bigram_losses(
+    positions: DataFrame, counts: DataFrame, vocab_size: int, alpha: float = 1.0, **options: float
+) -> DataFrame:
+    """Loss of every position of ``bigrams``. ``positions`` should be a table; ``options`` go to ``lookup``."""
+    return _position_losses(positions, counts, vocab_size, {"loss": alpha}, **options)
+
+
+def model_losses(
+    positions: DataFrame, counts: DataFrame, vocab_size: int, models: dict[str, float], **options: float
+) -> DataFrame:
+    """Loss of every position under every model, from one lookup."""
+    wide = _position_losses(positions, counts, vocab_size, models, **options)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"`{m}`").alias("loss")) for m in models]))
+    return wide.select(*positions.columns, each.alias("_m")).select("_m.model", *positions.columns, "_m.loss")
 
 
 def pseudo_perplexity(losses: DataFrame, keys: list[str], weighting: str = "batch", batch_size: int = 4) -> DataFrame:
@@ -86,11 +105,10 @@ def score_all(texts: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame
 
 
 def corpus_perplexity(
-    windows: DataFrame, counts: DataFrame, vocab_size: int, alpha: float = 1.0, by: str = "split"
+    pairs: DataFrame, counts: DataFrame, vocab_size: int, alpha: float = 1.0, by: str = "split"
 ) -> DataFrame:
-    """Mean loss and its exp per group, from counted pairs: positions are never joined."""
-    pairs = bigrams(windows, [by]).groupBy(by, "prev", "cur").agg(F.count("*").alias("n"))
-    scored = _pair_losses(pairs, counts, alpha, vocab_size)
+    """Mean loss and its exp per group, from the counted pairs of each group: positions are never joined."""
+    scored = _pair_losses(pairs.withColumnRenamed("cnt", "n"), counts, {"loss": alpha}, vocab_size)
     total = scored.groupBy(by).agg(
         F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("loss")).alias("_sum")
     )

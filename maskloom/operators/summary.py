@@ -13,15 +13,22 @@ DESCRIBE = ["count", "mean", "std", "min", "25%", "50%", "75%", "max", "median"]
 MAX_GROUPS = 1000
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], buckets: int = 256) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, by: list[str], value: str, shares: list[float], buckets: int = 256, max_values: int = 200_000
+) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group and share.
 
-    No task holds a whole group: values fall into ``buckets`` ranges, the wanted places are found from the range
+    Up to ``max_values`` distinct values, counted first, the built-in aggregate holds them. Beyond that no task
+    holds a whole group: values fall into ``buckets`` ranges, the wanted places are found from the range
     totals, and only the ranges that hold one are sorted. The range limits of up to ``MAX_GROUPS`` groups are
     broadcast; more groups are joined by shuffle.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     counted = materialise(counted, "quantiles")
+    if counted.limit(max_values + 1).count() <= max_values:
+        found = F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares]), F.col("_n"))
+        pairs = F.arrays_zip(F.array(*[F.lit(float(s)) for s in shares]).alias("share"), found.alias("value"))
+        return counted.groupBy(*by).agg(pairs.alias("_q")).select(*by, F.inline("_q"))
     limits = F.percentile_approx("_v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10 * buckets))
     groups = counted.groupBy(*by).agg(limits.alias("_limits"), F.sum("_n").alias("_total"))
     few = groups.select(*by).limit(MAX_GROUPS + 1).count() <= MAX_GROUPS

@@ -471,9 +471,10 @@ def corpus_ppl(spark: SparkSession, sf: str) -> DataFrame:
     vocab = _vocabulary(spark, sf)
     docs = splitting.threshold_split(_documents(spark, sf, "doc_id", "text"), "doc_id", test_size=0.1, seed=666)
     encoded = encoding.encode_wordpiece(docs.select("split", "text"), vocab)
-    whole = materialise(encoded.select("split", K.with_specials(F.col("ids")).alias("input_ids")), "sequences")
-    counts = scoring.bigram_counts(whole.where(F.col("split") == "train"))
-    scored = scoring.corpus_perplexity(whole, counts, len(vocab))
+    whole = encoded.select("split", K.with_specials(F.col("ids")).alias("input_ids"))
+    pairs = materialise(scoring.bigram_counts(whole, ["split"]), "pairs")
+    counts = pairs.where(F.col("split") == "train").drop("split")
+    scored = scoring.corpus_perplexity(pairs, counts, len(vocab))
     return scored.select(
         "split", "n_tokens", F.round("eval_loss", 6).alias("eval_loss"), F.round("perplexity", 6).alias("perplexity")
     )

@@ -58,12 +58,8 @@ def score_held_out(
 ) -> DataFrame:
     """Pseudo-perplexity of each text under each model; a model is a name and its smoothing."""
     positions = held_out_positions(texts, vocabulary, keys)
-    results = None
-    for name, alpha in models.items():
-        losses = scoring.bigram_losses(positions, counts, len(vocabulary), alpha)
-        scored = scoring.pseudo_perplexity(losses, keys, weighting).select(F.lit(name).alias("model"), *keys, "ppl")
-        results = scored if results is None else results.unionByName(scored)
-    return results
+    losses = scoring.model_losses(positions, counts, len(vocabulary), models)
+    return scoring.pseudo_perplexity(losses, ["model", *keys], weighting).select("model", *keys, "ppl")
 
 
 def held_out_report(results: DataFrame) -> DataFrame:

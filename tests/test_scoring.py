@@ -36,7 +36,7 @@ def test_losses_and_perplexities(windows):
     rows = [tuple(r) for r in windows.collect()]
     want = brute_losses(rows, 0.5, 20)
     positions = S.bigrams(windows, ["doc_id"])
-    losses = S.bigram_losses(positions, S.bigram_counts(windows), 20, 0.5, share=0.2).cache()
+    losses = S.bigram_losses(positions, S.bigram_counts(windows), 20, 0.5, share=0.2, max_broadcast=0).cache()
     got = {(r["doc_id"], r["pos"]): r["loss"] for r in losses.collect()}
     assert got == pytest.approx(want)
     texts = S.score_all(windows, S.pseudo_perplexity(losses, ["doc_id"], "token"), ["doc_id"])
@@ -56,10 +56,23 @@ def test_losses_and_perplexities(windows):
 def test_corpus_perplexity(windows):
     rows = [tuple(r) for r in windows.collect()]
     want = np.mean(list(brute_losses(rows, 1.0, 20).values()))
-    row = S.corpus_perplexity(windows.withColumn("split", F.lit("a")), S.bigram_counts(windows), 20).first()
+    pairs = S.bigram_counts(windows.withColumn("split", F.lit("a")), ["split"])
+    row = S.corpus_perplexity(pairs, S.bigram_counts(windows), 20).first()
     assert row["eval_loss"] == pytest.approx(want) and row["perplexity"] == pytest.approx(math.exp(want))
 
 
+def test_models_in_one_pass(windows):
+    positions = S.bigrams(windows, ["doc_id"])
+    counts = S.bigram_counts(windows)
+    both = S.model_losses(positions, counts, 20, {"a-0.5": 0.5, "b": 2.0})
+    for name, alpha in (("a-0.5", 0.5), ("b", 2.0)):
+        alone = S.bigram_losses(positions, counts, 20, alpha)
+        mine = both.where(F.col("model") == name)
+        assert {tuple(r) for r in mine.select("doc_id", "pos", "loss").collect()} == {
+            tuple(r) for r in alone.select("doc_id", "pos", "loss").collect()
+        }
+
+
 def test_own_scorer(windows):
     def make():
         return lambda batch: pd.Series(batch["label"] + batch["masked_ids"].map(len)).astype(float)
@@ -70,13 +83,13 @@ def test_own_scorer(windows):
     assert got == {(d, p): i[p] + len(i) for d, i in ids.items() for p in range(1, len(i) - 1)}
 
 
-@pytest.mark.parametrize("share", [1.0, 0.1, 0.001])
-def test_lookup_with_heavy_keys(spark, share):
+@pytest.mark.parametrize("share, small", [(1.0, 0), (0.1, 0), (0.001, 0), (0.1, 2000)])
+def test_lookup_with_heavy_keys(spark, share, small):
     """A third of all rows has one key; another heavy key and some light ones have no match."""
     keys = [0] * 1000 + [1] * 500 + [-1] * 500 + list(range(2, 1000)) + list(range(5000, 5010))
     facts = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "row long, key long")
     table = spark.createDataFrame([(k, k * 1.5) for k in range(1000)], "key long, value double")
-    got = {r["row"]: r["value"] for r in L.lookup(facts, table, ["key"], share).collect()}
+    got = {r["row"]: r["value"] for r in L.lookup(facts, table, ["key"], share, small).collect()}
     assert got == {i: (k * 1.5 if 0 <= k < 1000 else None) for i, k in enumerate(keys)}
 
 
@@ -86,8 +99,8 @@ def test_semi_lookup(spark):
         assert sorted(r["id"] for r in L.semi_lookup(df, chosen, ["id"], rows).collect()) == [3, 50]
 
 
-@pytest.mark.parametrize("buckets", [2, 16, 256])
-def test_exact_quantiles(spark, buckets):
+@pytest.mark.parametrize("buckets, small", [(2, 0), (16, 0), (256, 0), (256, 10_000)])
+def test_exact_quantiles(spark, buckets, small):
     rng = np.random.default_rng(7)
     groups = {
         "skewed": [5.0] * 400 + rng.exponential(3.0, 601).tolist(),
@@ -97,7 +110,8 @@ def test_exact_quantiles(spark, buckets):
     }
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
     shares = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {(r["g"], r["share"]): r["value"] for r in summary.exact_quantiles(df, ["g"], "v", shares, buckets).collect()}
+    quantiles = summary.exact_quantiles(df, ["g"], "v", shares, buckets, small)
+    got = {(r["g"], r["share"]): r["value"] for r in quantiles.collect()}
     want = {(g, s): np.quantile(vs, s) for g, vs in groups.items() for s in shares}
     assert got == pytest.approx(want)
 
