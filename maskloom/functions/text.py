@@ -17,9 +17,14 @@ SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "<S>", "<T>"]
 RELOADED_SPECIALS = SPECIAL_TOKENS[:5]
 
 # Block ranges whose characters are words of their own.
-CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}"
+CJK = (
+    r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}"
+    r"\x{2B920}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
+)
 # Unicode punctuation plus the ASCII symbols treated as punctuation.
 PUNCTUATION = r"\p{P}$+<=>^`|~"
+# Letters and digits that no normalising changes and no splitting separates.
+PLAIN = r"a-zA-Z0-9\x{DF}-\x{F6}\x{F8}-\x{FF}"
 # Format characters too new for the published normaliser, which keeps them.
 NEWER_FORMAT = r"\x{890}\x{891}\x{8E2}\x{110CD}\x{13430}-\x{1343F}"
 
@@ -35,17 +40,68 @@ def whitespace() -> str:
     return "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
 
 
+# Hangul syllables are numbered by their first, middle and last letters.
+SYLLABLES, LAST_SYLLABLE = 0xAC00, 0xD7A3
+FIRST_LETTERS, MIDDLE_LETTERS, LAST_LETTERS = (0x1100, 19), (0x1161, 21), (0x11A7, 28)
+
+
 @cache
-def _accent_map() -> tuple[str, str]:
-    """Code points that decompose to one other character plus marks, and that character."""
-    source, target = [], []
+def _without_marks() -> dict[str, str]:
+    """Code points that decompose, and what is left of each without marks. Hangul syllables are left out."""
+    found = {}
     for code in range(sys.maxunicode + 1):
         char = chr(code)
         base = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
-        if len(base) == 1 and base != char:
-            source.append(char)
-            target.append(base)
-    return "".join(source), "".join(target)
+        if base not in ("", char) and not SYLLABLES <= code <= LAST_SYLLABLE:
+            found[char] = base
+    return found
+
+
+@cache
+def _accent_map() -> tuple[str, str]:
+    """Code points that become one other character, and that character."""
+    single = {char: base for char, base in _without_marks().items() if len(base) == 1}
+    return "".join(single), "".join(single.values())
+
+
+@cache
+def _several() -> dict[str, str]:
+    """Code points that become more than one character."""
+    return {char: base for char, base in _without_marks().items() if len(base) > 1}
+
+
+def _several_ranges() -> str:
+    """Character ranges that hold every code point to take apart. A few wide ranges are quick to search."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, _several())):
+        if not ranges or code - ranges[-1][1] > 0x300:
+            ranges.append([code, code])
+        ranges[-1][1] = code
+    ranges.append([SYLLABLES, LAST_SYLLABLE])
+    return "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in ranges)
+
+
+def _take_apart(text: Column) -> Column:
+    """Decompose the characters that become several."""
+    table = F.create_map(*[F.lit(x) for pair in _several().items() for x in pair])
+
+    def letter(block: tuple[int, int], index: Column) -> Column:
+        start, n = block
+        return F.get(F.array(*[F.lit(chr(start + i)) for i in range(n)]), index.cast("int"))
+
+    def one(char: Column) -> Column:
+        number = F.ascii(char) - SYLLABLES
+        last = number % LAST_LETTERS[1]
+        rest = F.floor(number / LAST_LETTERS[1])
+        syllable = F.concat(
+            letter(FIRST_LETTERS, F.floor(rest / MIDDLE_LETTERS[1])),
+            letter(MIDDLE_LETTERS, rest % MIDDLE_LETTERS[1]),
+            F.when(last > 0, letter(LAST_LETTERS, last)).otherwise(""),
+        )
+        is_syllable = (number >= 0) & (number <= LAST_SYLLABLE - SYLLABLES)
+        return F.when(is_syllable, syllable).otherwise(F.coalesce(F.try_element_at(table, char), char))
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
 @cache
@@ -93,11 +149,29 @@ def mark_specials(text: Column, special_tokens: Sequence[str], marks: Sequence[s
     return text
 
 
-def normalise(text: Column, lowercase: bool = True, strip_accents: bool = True) -> Column:
-    """Drop control and format characters, then strip accents and lower the case. Marks stay."""
-    accents = r"\p{Mn}" if strip_accents else ""
-    kept = rf"\t\n\r{NEWER_FORMAT}" + "".join(WORDPIECE_MARKS)
-    out = F.regexp_replace(text, rf"[\p{{Cc}}\p{{Cf}}\p{{Co}}{accents}\x{{FFFD}}&&[^{kept}]]", "")
+def normalise(
+    text: Column, lowercase: bool = True, strip_accents: bool = True, special_tokens: Sequence[str] = ()
+) -> Column:
+    """Drop control and format characters, then strip accents and lower the case.
+
+    ``special_tokens`` written out in the text become marks. Texts that hold one, or a character that becomes
+    several, are few; a quick search finds them, and only they take the longer way.
+    """
+    marks = "".join(WORDPIECE_MARKS) if special_tokens else ""
+
+    def clean(source: Column, kept: str, apart: bool) -> Column:
+        accents = r"\p{Mn}" if strip_accents else ""
+        out = F.regexp_replace(source, rf"[\p{{Cc}}\p{{Cf}}\p{{Co}}{accents}\x{{FFFD}}&&[^\t\n\r{NEWER_FORMAT}{kept}]]", "")
+        return _take_apart(out) if apart else out
+
+    out = clean(text, "", False)
+    if marks or strip_accents:
+        rare = text.rlike(f"[{marks}{_several_ranges() if strip_accents else ''}]")
+        for token in special_tokens:
+            rare |= F.contains(text, F.lit(token))
+        # marks that come with the text go first, as normalising drops them anyway
+        marked = mark_specials(F.translate(text, marks, ""), special_tokens, WORDPIECE_MARKS) if marks else text
+        out = F.when(rare, clean(marked, marks, strip_accents)).otherwise(out)
     if strip_accents:
         out = F.translate(out, *_accent_map())
     if lowercase:
@@ -109,7 +183,9 @@ def normalise(text: Column, lowercase: bool = True, strip_accents: bool = True)
 def split_words(text: Column) -> Column:
     """Words, single punctuation characters, CJK characters and marks, in order."""
     alone = f"{PUNCTUATION}{CJK}{''.join(WORDPIECE_MARKS)}"
-    return F.regexp_extract_all(text, F.lit(rf"[^\s\p{{Z}}{alone}]+|[{alone}]"), F.lit(0))
+    # most words are plain letters, which a small class finds faster than the complement of all the others
+    pattern = rf"[{PLAIN}]++[^\s\p{{Z}}{alone}]*+|[^\s\p{{Z}}{alone}]++|[{alone}]"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def bert_words(
@@ -119,8 +195,7 @@ def bert_words(
 
     ``special_tokens`` written out in the text become marks, as when encoding; training knows none yet.
     """
-    clean = F.translate(text, "".join(WORDPIECE_MARKS), "")
-    return split_words(normalise(mark_specials(clean, special_tokens, WORDPIECE_MARKS), lowercase, strip_accents))
+    return split_words(normalise(text, lowercase, strip_accents, special_tokens))
 
 
 def _byte_level_pattern(marks: str = "") -> str:

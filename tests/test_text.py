@@ -26,6 +26,7 @@ ADVERSARIAL = [
     "it's we're  I'll   'd\t\ttabs 123abc ",
     "﷐﷔ noncharacters",
     "tail   ",
+    "한국어 각가힣 ো ஔ 𝅗𝅥 𪜀漢 naïve",
     "".join(f"a{chr(c)}b " for c in [0x378, 0x890, 0x8E2, 0x13430, 0xE000, 0xF0000, 0xFFFE, 0x200B, 0xAD, 0x1FAE8]),
 ]
 
