@@ -30,8 +30,8 @@ def three_way(unit: str) -> str:
 
 TEST = below(666, "doc_id", 0.1)
 DOCUMENTS = "SELECT '' AS sample, doc_id AS item, text FROM documents"
-HELD_OUT = """SELECT 'benchmark' AS sample, item_id AS item, text FROM benchmark
-  UNION ALL SELECT 'conversations', conv_id * 100000 + turn, text FROM conversations"""
+HELD_OUT = """SELECT 'benchmark' AS sample, item_id::VARCHAR AS item, text FROM benchmark
+  UNION ALL SELECT 'conversations', conv_id || '-' || turn, text FROM conversations"""
 
 VOCABULARY = f"""
 wc AS (SELECT word, count(*) AS cnt FROM (SELECT unnest({WORDS}) AS word FROM documents WHERE NOT ({TEST})) GROUP BY word),
@@ -124,7 +124,7 @@ plan AS (SELECT doc_id, win, pos, label, action, (CASE action WHEN 'mask' THEN 4
 """.format(mask=threshold(0.8, 8), random=threshold(0.9, 8), share=threshold(0.15, 8))
 
 # Train pairs need the encoded documents, held-out texts their own; both are one corpus told apart by ``sample``.
-BOTH = f"SELECT '' AS sample, doc_id AS item, text FROM documents WHERE NOT ({TEST}) UNION ALL {HELD_OUT}"
+BOTH = f"SELECT '' AS sample, doc_id::VARCHAR AS item, text FROM documents WHERE NOT ({TEST}) UNION ALL {HELD_OUT}"
 PAIRS = """, whole AS (SELECT [2] || ids || [3] AS w FROM enc WHERE sample = ''),
 inner_pairs AS (SELECT w[p] AS prev, w[p + 1] AS cur FROM (SELECT w, unnest(range(1, len(w) - 1)) AS p FROM whole)),
 bi AS (SELECT prev, cur, count(*) AS cnt FROM inner_pairs GROUP BY ALL),

@@ -53,10 +53,10 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 def _held_out(spark: SparkSession, sf: str) -> DataFrame:
     """Two held-out collections, told apart by ``sample``."""
     first = spark.read.parquet(f"{sf}/benchmark.parquet").select(
-        F.lit("benchmark").alias("sample"), F.col("item_id").alias("item"), "text"
+        F.lit("benchmark").alias("sample"), F.col("item_id").cast("string").alias("item"), "text"
     )
     second = spark.read.parquet(f"{sf}/conversations.parquet").select(
-        F.lit("conversations").alias("sample"), (F.col("conv_id") * 100000 + F.col("turn")).alias("item"), "text"
+        F.lit("conversations").alias("sample"), F.concat_ws("-", "conv_id", "turn").alias("item"), "text"
     )
     return spread(first.union(second), *ITEM)
 
