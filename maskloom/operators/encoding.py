@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from maskloom.functions import text as T
+from maskloom.functions.bytepairs import merge_pairs, merge_table
 from maskloom.operators.vocabulary import CONTINUATION, Vocabulary
 
 UNKNOWN = "[UNK]"
@@ -25,11 +26,13 @@ IDS = ST.ArrayType(ST.IntegerType(), False)
 MEMORY = 500_000
 
 
-def wordpiece_ids(word: str, tokens: dict[str, int], longest_piece: int) -> list[int]:
-    """Longest match from the left; a word with an unmatched rest is one unknown token."""
+def wordpiece_ids(
+    word: str, tokens: dict[str, int], longest_piece: int, longest_word: int = LONGEST_WORD
+) -> list[int]:
+    """Longest match from the left; a word with an unmatched rest, or a longer word, is one unknown token."""
     ids: list[int] = []
     start = 0
-    while start < len(word) <= LONGEST_WORD:
+    while start < len(word) <= longest_word:
         prefix = CONTINUATION if start else ""
         stop = min(len(word), start + longest_piece)
         end = next((e for e in range(stop, start, -1) if prefix + word[start:e] in tokens), None)
@@ -40,15 +43,9 @@ def wordpiece_ids(word: str, tokens: dict[str, int], longest_piece: int) -> list
     return ids or [tokens[UNKNOWN]]
 
 
-def byte_level_ids(word: str, tokens: dict[str, int], ranks: dict[tuple[str, str], int]) -> list[int]:
-    """Join the neighbours of lowest merge rank until none is left."""
-    parts = list(word)
-    while len(parts) > 1:
-        rank, at = min((ranks.get(pair, len(ranks)), i) for i, pair in enumerate(zip(parts, parts[1:])))
-        if rank == len(ranks):
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [tokens[p] for p in parts]
+def byte_level_ids(word: str, tokens: dict[str, int], merges: dict[int, int]) -> list[int]:
+    """Join the neighbours of lowest merge rank until none is left, in n log n steps for a word of n letters."""
+    return merge_pairs([tokens[letter] for letter in word], merges)
 
 
 def _encode_batches(
@@ -103,18 +100,20 @@ def encode_wordpiece(
     text: str = "text",
     out: str = "ids",
     special_tokens: Sequence[str] = T.RELOADED_SPECIALS,
+    longest_word: int = LONGEST_WORD,
     **normalisation: bool,
 ) -> DataFrame:
     """Replace ``text`` by its WordPiece ids, without opening and closing tokens.
 
-    ``special_tokens`` written out in a text get their own id.
+    ``special_tokens`` written out in a text get their own id. Words of more than ``longest_word`` characters are
+    unknown.
     """
     known = (_with_marks(vocabulary, special_tokens, T.WORDPIECE_MARKS), vocabulary.longest_piece)
     shared = df.sparkSession.sparkContext.broadcast(known)
 
     def make() -> Callable[[str], list[int]]:
         tokens, longest = shared.value
-        return lambda word: wordpiece_ids(word, tokens, longest)
+        return lambda word: wordpiece_ids(word, tokens, longest, longest_word)
 
     words = T.bert_words(F.col(text), special_tokens=special_tokens, **normalisation)
     return _encode(df, text, words, out, make)
@@ -128,18 +127,35 @@ def encode_byte_level(
     special_tokens: Sequence[str] = T.SPECIAL_TOKENS,
 ) -> DataFrame:
     """Replace ``text`` by its byte-level BPE ids."""
-    ranks = {pair: rank for rank, pair in enumerate(vocabulary.merges)}
-    shared = df.sparkSession.sparkContext.broadcast((_with_marks(vocabulary, special_tokens, T.BYTE_LEVEL_MARKS), ranks))
+    ids = vocabulary.tokens
+    merges = merge_table([(ids[a], ids[b], ids[a + b]) for a, b in vocabulary.merges])
+    known = (_with_marks(vocabulary, special_tokens, T.BYTE_LEVEL_MARKS), merges)
+    shared = df.sparkSession.sparkContext.broadcast(known)
 
     def make() -> Callable[[str], list[int]]:
-        tokens, ranks = shared.value
-        return lambda word: byte_level_ids(word, tokens, ranks)
+        tokens, merges = shared.value
+        return lambda word: byte_level_ids(word, tokens, merges)
 
     return _encode(df, text, T.byte_level_words(F.col(text), special_tokens), out, make)
 
 
-def encode_words(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """WordPiece ids of distinct words, by joining their parts with the vocabulary.
+def encode_words(counts: DataFrame, vocabulary: Vocabulary, longest_word: int = LONGEST_WORD) -> DataFrame:
+    """Add the WordPiece ids of distinct words; nothing is shuffled."""
+    shared = counts.sparkSession.sparkContext.broadcast((vocabulary.tokens, vocabulary.longest_piece))
+    schema = ST.StructType([counts.schema["word"], counts.schema["cnt"], ST.StructField("ids", IDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, longest = shared.value
+        for batch in batches:
+            ids = [wordpiece_ids(w, tokens, longest, longest_word) for w in batch.column("word").to_pylist()]
+            columns = [batch.column("word"), batch.column("cnt"), pa.array(ids, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "cnt", "ids"])
+
+    return counts.select("word", "cnt").mapInArrow(run, schema)
+
+
+def encode_words_by_joins(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The same by joining the words' parts with the vocabulary, all in the JVM: a cross-check of ``encode_words``.
 
     ``counts`` must be distributed by word, as an aggregate by word is; then nothing more is shuffled.
     """
@@ -215,9 +231,9 @@ def unknown_rate(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> Dat
 def compare_tokens(
     sampled: DataFrame, key: str, first: Vocabulary, second: Vocabulary, text: str = "text"
 ) -> DataFrame:
-    """WordPiece and byte-level tokens of the same texts side by side."""
-    texts = sampled.select(key, text)
-    left = encode_wordpiece(texts, first, special_tokens=T.SPECIAL_TOKENS)
-    left = pieces(left, first, out="wordpiece_tokens").drop("ids")
-    right = pieces(encode_byte_level(texts, second), second, out="byte_level_tokens").drop("ids")
-    return texts.join(left, key).join(right, key)
+    """WordPiece and byte-level tokens of the same texts side by side, in one pass."""
+    texts = sampled.select(key, text, F.col(text).alias("_left"), F.col(text).alias("_right"))
+    both = encode_wordpiece(texts, first, "_left", "_left_ids", special_tokens=T.SPECIAL_TOKENS)
+    both = pieces(both, first, "_left_ids", "wordpiece_tokens").drop("_left_ids")
+    both = encode_byte_level(both, second, "_right", "_right_ids")
+    return pieces(both, second, "_right_ids", "byte_level_tokens").drop("_right_ids")

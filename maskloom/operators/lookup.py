@@ -13,8 +13,8 @@ def lookup(
 ) -> DataFrame:
     """Left join of ``facts`` with ``table``, which has one row per key.
 
-    A table of at most ``max_broadcast`` rows, counted first, is broadcast. Beyond that, keys with at least ``share`` of all facts are at most ``1 / share`` many, so their rows of ``table`` are
-    broadcast. The other keys are shuffled, and none of them can hold more than that share. Rows found already
+    A table of at most ``max_broadcast`` rows, counted first, is broadcast. Beyond that, keys with at least ``share``
+    of all facts are at most ``1 / share`` many, so their rows of ``table`` are broadcast. The other keys are shuffled, and none of them can hold more than that share. Rows found already
     go through the shuffle under keys that spread them evenly and match nothing.
 
     Both sides are read more than once; pass tables, not costly plans.
@@ -28,7 +28,9 @@ def lookup(
     total = facts.agg(F.count("*").alias("_all"))
     limit = F.col("_n") >= F.ceil(F.lit(share) * total.scalar())
     frequent = materialise(sizes.where(limit).select(*keys).limit(int(1 / share) + 1), "frequent-keys")
-    small = table.join(F.broadcast(frequent), keys, "left_semi").limit(int(1 / share) + 1)
+    small = materialise(table.join(F.broadcast(frequent), keys, "left_semi"), "frequent-rows")
+    if small.count() > int(1 / share) + 1:
+        raise ValueError("the table repeats keys")
     ready = frequent.join(F.broadcast(small), keys, "left").withColumn("_ready", F.lit(True))
     ready = ready.select(*keys, *[F.col(v).alias(f"_{v}") for v in values], "_ready")
     first = facts.join(F.broadcast(ready), keys, "left")

@@ -12,13 +12,20 @@ from maskloom.functions.draws import below, draw, integer
 MASKED, RANDOM = 0.8, 0.1
 
 
-def _drawn(ids: Column, seed: int | str, keys: list[Column]) -> Column:
-    """One draw per position of the array."""
-    return F.transform(ids, lambda _, i: draw(seed, *keys, i))
+def _special(windows: DataFrame, ids: str, special: str | None) -> Column:
+    """Which places hold no token of the text: by the mask that padding keeps up, or the first and last place."""
+    return F.col(special) if special else K.special_tokens_mask(F.col(ids))
 
 
-def _chosen(token: Column, drawn: Column, probability: float) -> Column:
-    return below(drawn, probability, start=1, digits=8) & ~token.isin(K.PAD, K.CLS, K.SEP)
+def _drawn(ids: Column, special: Column, seed: int | str, keys: list[Column]) -> Column:
+    """One draw per position of the array; none where no token of the text stands."""
+    return F.zip_with(
+        F.transform(ids, lambda _, i: draw(seed, *keys, i)), special, lambda d, s: F.when(s == 0, d)
+    )
+
+
+def _chosen(drawn: Column, probability: float) -> Column:
+    return F.coalesce(below(drawn, probability, start=1, digits=8), F.lit(False))
 
 
 def _action(drawn: Column) -> Column:
@@ -30,10 +37,10 @@ def _action(drawn: Column) -> Column:
     )
 
 
-def _replacement(token: Column, drawn: Column, vocab_size: int) -> Column:
+def _replacement(token: Column, drawn: Column, vocab_size: int, mask: int) -> Column:
     action = _action(drawn)
     return (
-        F.when(action == "mask", F.lit(K.MASK))
+        F.when(action == "mask", F.lit(mask))
         .when(action == "random", integer(drawn, 17, vocab_size))
         .otherwise(token)
     )
@@ -47,15 +54,21 @@ def mask_for_training(
     seed: int | str = 42,
     epoch: int = 0,
     ids: str = "input_ids",
+    special: str | None = None,
+    specials: K.Specials = K.SPECIALS,
 ) -> DataFrame:
     """Add ``labels`` and mask ``ids``: array by array, without a shuffle or one row per token.
 
-    Opening, closing and padding tokens are never chosen. ``epoch`` gives each pass its own masks.
+    Opening, closing and padding places are never chosen; special tokens written out in a text may be. For padded
+    windows ``special`` names their special-tokens mask. ``epoch`` gives each pass its own masks.
     """
-    drawn = windows.withColumn("_drawn", _drawn(F.col(ids), f"{seed}:{epoch}", [F.col(k) for k in keys]))
-    labels = F.zip_with(ids, "_drawn", lambda t, d: F.when(_chosen(t, d, probability), t).otherwise(K.IGNORE))
+    places = _special(windows, ids, special)
+    drawn = windows.withColumn("_drawn", _drawn(F.col(ids), places, f"{seed}:{epoch}", [F.col(k) for k in keys]))
+    labels = F.zip_with(ids, "_drawn", lambda t, d: F.when(_chosen(d, probability), t).otherwise(K.IGNORE))
     masked = F.zip_with(
-        ids, "_drawn", lambda t, d: F.when(_chosen(t, d, probability), _replacement(t, d, vocab_size)).otherwise(t)
+        ids,
+        "_drawn",
+        lambda t, d: F.when(_chosen(d, probability), _replacement(t, d, vocab_size, specials.mask)).otherwise(t),
     )
     rest = [c for c in windows.columns if c != ids]
     return drawn.select(*rest, masked.alias(ids), labels.alias("labels"))
@@ -69,18 +82,22 @@ def mask_plan(
     seed: int | str = 42,
     epoch: int = 0,
     ids: str = "input_ids",
+    special: str | None = None,
+    specials: K.Specials = K.SPECIALS,
 ) -> DataFrame:
     """One row per chosen token: its position from 0, its label, the action and the id put in its place."""
-    rows = windows.select(*keys, F.posexplode(ids).alias("pos", "label")).withColumn(
+    pairs = F.arrays_zip(F.col(ids).alias("label"), _special(windows, ids, special).alias("special"))
+    rows = windows.select(*keys, F.posexplode(pairs).alias("pos", "_pair")).where(F.col("_pair.special") == 0)
+    rows = rows.select(*keys, "pos", "_pair.label").withColumn(
         "_drawn", draw(f"{seed}:{epoch}", *[F.col(k) for k in keys], F.col("pos"))
     )
-    chosen = rows.where(_chosen(F.col("label"), F.col("_drawn"), probability))
+    chosen = rows.where(_chosen(F.col("_drawn"), probability))
     return chosen.select(
         *keys,
         "pos",
         "label",
         _action(F.col("_drawn")).alias("action"),
-        _replacement(F.col("label"), F.col("_drawn"), vocab_size).alias("new_id"),
+        _replacement(F.col("label"), F.col("_drawn"), vocab_size, specials.mask).alias("new_id"),
     )
 
 
@@ -91,12 +108,14 @@ def mask_rates(
     seed: int | str = 42,
     epoch: int = 0,
     ids: str = "input_ids",
+    special: str | None = None,
 ) -> DataFrame:
     """Maskable tokens, chosen tokens and how many of each action, in one pass over the windows."""
-    drawn = windows.select(F.col(ids), _drawn(F.col(ids), f"{seed}:{epoch}", [F.col(k) for k in keys]).alias("_drawn"))
-    actions = F.zip_with(ids, "_drawn", lambda t, d: F.when(_chosen(t, d, probability), _action(d)))
+    places = _special(windows, ids, special)
+    drawn = windows.select(_drawn(F.col(ids), places, f"{seed}:{epoch}", [F.col(k) for k in keys]).alias("_drawn"))
+    actions = F.transform("_drawn", lambda d: F.when(_chosen(d, probability), _action(d)))
     tallied = drawn.select(
-        F.size(F.filter(ids, lambda t: ~t.isin(K.PAD, K.CLS, K.SEP))).alias("maskable"), actions.alias("actions")
+        F.size(F.filter("_drawn", lambda d: d.isNotNull())).alias("maskable"), actions.alias("actions")
     )
 
     def total(*names: str) -> Column:
@@ -111,7 +130,9 @@ def mask_rates(
     )
 
 
-def expand_masks(windows: DataFrame, keys: list[str], ids: str = "input_ids") -> DataFrame:
+def expand_masks(
+    windows: DataFrame, keys: list[str], ids: str = "input_ids", specials: K.Specials = K.SPECIALS
+) -> DataFrame:
     """One row per position but the first and last, with that position masked.
 
     A window of n ids gives n - 2 rows of n ids, which an outside scorer needs. The built-in scorer does not.
@@ -119,5 +140,5 @@ def expand_masks(windows: DataFrame, keys: list[str], ids: str = "input_ids") ->
     inner = F.slice(F.col(ids), F.lit(2), F.greatest(F.size(ids) - 2, F.lit(0)))
     rows = windows.select(*keys, F.col(ids), F.posexplode(inner).alias("_at", "label"))
     pos = F.col("_at") + 1
-    masked = F.transform(F.col(ids), lambda t, i: F.when(i == pos, K.MASK).otherwise(t))
+    masked = F.transform(F.col(ids), lambda t, i: F.when(i == pos, specials.mask).otherwise(t))
     return rows.select(*keys, pos.alias("pos"), "label", masked.alias("masked_ids"))

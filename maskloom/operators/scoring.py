@@ -18,12 +18,20 @@ from maskloom.operators.vocabulary import adjacent_pairs
 from maskloom.session import materialise
 
 
-def bigrams(windows: DataFrame, keys: list[str], ids: str = "input_ids") -> DataFrame:
-    """One row per position but the first and last: the token and the one before it."""
+def bigrams(windows: DataFrame, keys: list[str], ids: str = "input_ids", with_size: bool = False) -> DataFrame:
+    """One row per position but the first and last: the token and the one before it.
+
+    ``with_size`` adds ``n``, the number of such positions of the window.
+    """
     pairs = adjacent_pairs(F.slice(F.col(ids), F.lit(1), F.greatest(F.size(ids) - 1, F.lit(0))))
-    rows = windows.select(*keys, F.posexplode(pairs).alias("_at", "pair"))
+    size = [(F.size(ids) - 2).alias("n")] if with_size else []
+    rows = windows.select(*keys, *size, F.posexplode(pairs).alias("_at", "pair"))
     return rows.select(
-        *keys, (F.col("_at") + 1).alias("pos"), F.col("pair.left").alias("prev"), F.col("pair.right").alias("cur")
+        *keys,
+        (F.col("_at") + 1).alias("pos"),
+        F.col("pair.left").alias("prev"),
+        F.col("pair.right").alias("cur"),
+        *["n" for _ in size],
     )
 
 
@@ -84,10 +92,19 @@ def pseudo_perplexity(losses: DataFrame, keys: list[str], weighting: str = "batc
     """exp of the mean loss per text.
 
     ``weighting="batch"`` first takes the mean over each run of ``batch_size`` positions and then the plain mean
-    of those, so the tokens of a short last run weigh more; ``"token"`` weighs all tokens alike.
+    of those, so the tokens of a short last run weigh more; ``"token"`` weighs all tokens alike. Where ``losses`` has
+    the number of positions ``n`` of its text, and one loss for each, the size of every run is known beforehand, and
+    sums are taken before the shuffle.
     """
     if weighting == "token":
         means = losses.groupBy(*keys).agg(F.avg("loss").alias("mean_loss"), F.count("*").alias("n_tokens"))
+    elif weighting == "batch" and "n" in losses.columns:
+        run = F.expr(f"(pos - 1) div {int(batch_size)}")
+        size = F.least(F.lit(batch_size), F.col("n") - run * batch_size)
+        runs = F.ceil(F.max("n") / F.lit(batch_size))
+        means = losses.groupBy(*keys).agg(
+            (F.sum(F.col("loss") / size) / runs).alias("mean_loss"), F.count("*").alias("n_tokens")
+        )
     elif weighting == "batch":
         run = F.expr(f"(pos - 1) div {int(batch_size)}")
         # one shuffle serves both aggregates

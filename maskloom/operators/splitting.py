@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.draws import below, draw
@@ -21,26 +21,34 @@ def threshold_split(df: DataFrame, *keys: str, test_size: float, seed: int | str
 
 
 def _first_by_draw(
-    df: DataFrame, key: str, seed: int | str, share: float, rounding: str, digits: int = 2
+    df: DataFrame, key: str, seed: int | str, share: float, rounding: str, digits: int = 2, most: int = 10_000
 ) -> Column:
     """True for the rows that come first in the seeded order, a share of them rounded to whole rows.
 
-    Only counts per hash prefix and the one prefix that holds the border are looked at; the rows themselves do
-    not move.
+    Only counts per hash prefix are looked at, with a longer prefix where the border lies until at most ``most``
+    rows share it; the rows themselves do not move.
     """
     drawn = draw(seed, F.col(key))
-    keyed = df.select(drawn.alias("_draw")).withColumn("_prefix", F.substring("_draw", 1, digits))
-    counts = {r["_prefix"]: r["count"] for r in keyed.groupBy("_prefix").count().collect()}  # at most 16**digits
-    wanted = int((Decimal(str(share)) * sum(counts.values())).to_integral_value(rounding))
-    if wanted == 0:
-        return F.lit(False)
-    for border in sorted(counts):
-        if wanted <= counts[border]:
+    keyed = df.select(drawn.alias("_draw"))
+    border, wanted = "", None
+    while True:
+        length = len(border) + digits
+        inside = keyed.where(F.col("_draw").startswith(border))
+        counted = inside.groupBy(F.substring("_draw", 1, length).alias("_prefix")).count()
+        counts = {r["_prefix"]: r["count"] for r in counted.collect()}  # at most 16**digits
+        if wanted is None:
+            wanted = int((Decimal(str(share)) * sum(counts.values())).to_integral_value(rounding))
+            if wanted == 0:
+                return F.lit(False)
+        for border in sorted(counts):
+            if wanted <= counts[border]:
+                break
+            wanted -= counts[border]
+        if counts[border] <= most or length >= 32:
             break
-        wanted -= counts[border]
-    place = F.row_number().over(Window.partitionBy("_prefix").orderBy("_draw"))
-    inside = keyed.where(F.col("_prefix") == border).withColumn("_place", place)
-    return drawn <= inside.where(F.col("_place") == wanted).first()["_draw"]
+    # at most ``most`` rows, or rows with one and the same draw
+    last = keyed.where(F.col("_draw").startswith(border)).orderBy("_draw").limit(min(wanted, most))
+    return drawn <= last.agg(F.max("_draw")).first()[0]
 
 
 def exact_split(df: DataFrame, key: str, test_size: float, seed: int | str) -> DataFrame:

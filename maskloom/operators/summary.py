@@ -14,12 +14,17 @@ MAX_GROUPS = 1000
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, shares: list[float], buckets: int = 256, max_values: int = 200_000
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    shares: list[float],
+    buckets: int | None = None,
+    max_values: int = 200_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group and share.
 
     Up to ``max_values`` distinct values, counted first, the built-in aggregate holds them. Beyond that no task
-    holds a whole group: values fall into ``buckets`` ranges, the wanted places are found from the range
+    holds a whole group: values fall into ``buckets`` ranges, by default one for 20,000 values, the wanted places are found from the range
     totals, and only the ranges that hold one are sorted. The range limits of up to ``MAX_GROUPS`` groups are
     broadcast; more groups are joined by shuffle.
     """
@@ -29,6 +34,8 @@ def exact_quantiles(
         found = F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares]), F.col("_n"))
         pairs = F.arrays_zip(F.array(*[F.lit(float(s)) for s in shares]).alias("share"), found.alias("value"))
         return counted.groupBy(*by).agg(pairs.alias("_q")).select(*by, F.inline("_q"))
+    if buckets is None:
+        buckets = max(256, min(4096, -(-counted.count() // 20_000)))
     limits = F.percentile_approx("_v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10 * buckets))
     groups = counted.groupBy(*by).agg(limits.alias("_limits"), F.sum("_n").alias("_total"))
     few = groups.select(*by).limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
@@ -60,7 +67,12 @@ def exact_quantiles(
         .select(
             *by,
             "share",
-            (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_place") - F.floor("_place"))).alias("value"),
+            # weighted as the built-in aggregate does it, so that both ways give the same number to the last bit
+            F.when(F.col("_low") == F.col("_high"), F.col("_low").cast("double"))
+            .otherwise(
+                (F.ceil("_place") - F.col("_place")) * F.col("_low") + (F.col("_place") - F.floor("_place")) * F.col("_high")
+            )
+            .alias("value"),
         )
     )
 
@@ -124,6 +136,18 @@ def missing_results(expected: DataFrame, finished: DataFrame, keys: list[str]) -
     return expected.select(*keys).join(finished.select(*keys), keys, "left_anti")
 
 
+def completeness(expected: DataFrame, finished: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Per group: expected keys, those with a result, and those without. A key counts once, however many results
+    it has."""
+    done = finished.select(*keys).distinct().withColumn("_done", F.lit(1))
+    joined = expected.select(*dict.fromkeys([*by, *keys])).join(done, keys, "left")
+    return joined.groupBy(*by).agg(
+        F.count("*").alias("n_expected"),
+        F.count("_done").alias("n_finished"),
+        (F.count("*") - F.count("_done")).alias("n_missing"),
+    )
+
+
 def compare_models(results: DataFrame, item: list[str], model: str = "model", score: str = "ppl") -> DataFrame:
     """Per sample and model: texts, mean score, and on how many texts the model has the lowest score.
 

@@ -61,7 +61,10 @@ class Vocabulary:
         rows = tokens.select("token", "id").limit(cls.MAX_TOKENS + 1).collect()
         found = cls({r["token"]: r["id"] for r in sorted(rows, key=lambda r: r["id"])})
         if merges is not None:
-            ordered = sorted(merges.limit(cls.MAX_TOKENS + 1).collect(), key=lambda r: r["rank"])
+            held = merges.limit(cls.MAX_TOKENS + 1).collect()
+            if len(held) > cls.MAX_TOKENS:
+                raise ValueError(f"more than {cls.MAX_TOKENS} merges are too many to broadcast")
+            ordered = sorted(held, key=lambda r: r["rank"])
             found.merges = [(r["left"], r["right"]) for r in ordered]
         return found
 
@@ -121,14 +124,15 @@ def basic_vocabulary(
     n_endings: int = 0,
     without: Sequence[str] = (),
     special_tokens: Sequence[str] = T.SPECIAL_TOKENS,
+    alphabet_limit: int = ALPHABET_LIMIT,
 ) -> Vocabulary:
     """A vocabulary without merges: characters, their continuations, frequent words and frequent word endings.
 
-    ``without`` names characters that get no continuation, so that some words have no pieces.
+    ``alphabet_limit`` characters are kept, the most frequent ones. ``without`` names characters that get no continuation, so that some words have no pieces.
     """
     kept = counts.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        chars = sorted(r["ch"] for r in alphabet(kept).collect())
+        chars = sorted(r["ch"] for r in alphabet(kept, alphabet_limit).collect())
         words = kept.where(F.length("word") > 1).orderBy(F.desc("cnt"), "word").limit(n_words)
         endings = (
             kept.where(F.length("word") >= 4)
@@ -203,7 +207,10 @@ def _merge(state: DataFrame, edits: Sequence[tuple[str, str]], step: int = 8) ->
 
 def _best_pairs(state: DataFrame, min_frequency: int, limit: int) -> list[tuple[int, int, int]]:
     """The most frequent pairs of token ids with their counts, ties to the lower ids."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("packed") - 1), lambda i: F.substring("packed", i, F.lit(2)))
+    # one split, then neighbours: linear in the word, where a substring at every place would be quadratic
+    letters = F.split("packed", "")
+    rest = F.slice(letters, F.lit(2), F.size(letters) - 1)
+    pairs = F.zip_with(F.slice(letters, F.lit(1), F.size(letters) - 1), rest, lambda a, b: F.concat(a, b))
     rows = (
         state.where(F.length("packed") > 1)
         .select(F.explode(pairs).alias("pair"), "cnt")
@@ -270,6 +277,7 @@ def train(
     special_tokens: Sequence[str] = T.SPECIAL_TOKENS,
     continuation: str = CONTINUATION,
     chars: Sequence[str] | None = None,
+    alphabet_limit: int = ALPHABET_LIMIT,
     rho: float | None = None,
     candidates: int = 512,
     cut_every: int = 12,
@@ -280,11 +288,11 @@ def train(
     Only those, never words, leave the executors. Ties go to the pair of lower token ids. Every ``cut_every``
     rounds the words are checkpointed to the shared folder, which ends their lineage.
 
-    ``rho`` trades agreement for fewer rounds; without it merges are exactly those of one-at-a-time training.
+    Without ``chars`` the alphabet is the ``alphabet_limit`` most frequent characters. ``rho`` trades agreement for fewer rounds; without it merges are exactly those of one-at-a-time training.
     """
     shared_dir(counts.sparkSession)
     if chars is None:
-        chars = [r["ch"] for r in alphabet(counts).collect()]
+        chars = [r["ch"] for r in alphabet(counts, alphabet_limit).collect()]
     chars = sorted(chars)
     names = list(special_tokens) + [c for c in chars if c not in special_tokens]
     if continuation:

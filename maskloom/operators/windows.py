@@ -11,15 +11,21 @@ from maskloom.session import materialise
 
 
 def token_windows(
-    encoded: DataFrame, ids: str = "ids", max_length: int = 512, overlap: int = 256, out: str = "input_ids"
+    encoded: DataFrame,
+    ids: str = "ids",
+    max_length: int = 512,
+    overlap: int = 256,
+    out: str = "input_ids",
+    specials: K.Specials = K.SPECIALS,
 ) -> DataFrame:
     """One row per window; ``win`` counts from 0 within the document. Row by row, without a shuffle."""
     rest = [c for c in encoded.columns if c != ids]
-    return encoded.select(*rest, F.posexplode(K.windows(F.col(ids), max_length, overlap)).alias("win", out))
+    cut = K.windows(F.col(ids), max_length, overlap, specials)
+    return encoded.select(*rest, F.posexplode(cut).alias("win", out))
 
 
 def model_inputs(windows: DataFrame, ids: str = "input_ids") -> DataFrame:
-    """Add the attention mask and the special-tokens mask."""
+    """Add the attention mask and the special-tokens mask, by place. Do it before padding, which fills them up too."""
     return windows.withColumn("attention_mask", K.attention_mask(F.col(ids))).withColumn(
         "special_tokens_mask", K.special_tokens_mask(F.col(ids))
     )
@@ -31,14 +37,25 @@ def windows_per_document(encoded: DataFrame, ids: str = "ids", max_length: int =
     return sizes.withColumn("n_windows", K.window_count(F.col("n_tokens"), max_length, overlap))
 
 
-def truncate_first(encoded: DataFrame, ids: str = "ids", max_length: int = 512, out: str = "input_ids") -> DataFrame:
+def truncate_first(
+    encoded: DataFrame,
+    ids: str = "ids",
+    max_length: int = 512,
+    out: str = "input_ids",
+    specials: K.Specials = K.SPECIALS,
+) -> DataFrame:
     rest = [c for c in encoded.columns if c != ids]
-    return encoded.select(*rest, K.first_window(F.col(ids), max_length).alias(out))
+    return encoded.select(*rest, K.first_window(F.col(ids), max_length, specials).alias(out))
 
 
-def pad_static(windows: DataFrame, length: int = 512, ids: str = "input_ids") -> DataFrame:
-    """Pad every window to ``length``."""
-    return windows.withColumn(ids, K.pad_to(F.col(ids), F.lit(length)))
+def pad_static(
+    windows: DataFrame, length: int = 512, ids: str = "input_ids", specials: K.Specials = K.SPECIALS
+) -> DataFrame:
+    """Pad every window to ``length``: ids with the padding id, masks, where there are any, with 0 and 1."""
+    fills = {ids: F.lit(specials.pad)}
+    fills |= {"attention_mask": F.lit(0).cast("tinyint"), "special_tokens_mask": F.lit(1).cast("tinyint")}
+    padded = {c: K.pad_to(F.col(c), F.lit(length), fill) for c, fill in fills.items() if c in windows.columns}
+    return windows.withColumns(padded)
 
 
 def _window_size(n: Column, win: Column, max_length: int, overlap: int) -> Column:

@@ -35,7 +35,8 @@ HELD_OUT = """SELECT 'benchmark' AS sample, item_id::VARCHAR AS item, text FROM
 
 VOCABULARY = f"""
 wc AS (SELECT word, count(*) AS cnt FROM (SELECT unnest({WORDS}) AS word FROM documents WHERE NOT ({TEST})) GROUP BY word),
-chars AS (SELECT DISTINCT unnest(string_split(word, '')) AS ch FROM wc),
+chars AS (SELECT ch FROM (SELECT unnest(string_split(word, '')) AS ch, cnt FROM wc)
+  GROUP BY ch ORDER BY sum(cnt) DESC, ch LIMIT 1000),
 frequent AS (SELECT word FROM wc WHERE length(word) > 1 ORDER BY cnt DESC, word LIMIT {N_WORDS}),
 endings AS (SELECT '##' || right(word, 2) AS token FROM wc WHERE length(word) >= 4
   GROUP BY 1 ORDER BY sum(cnt) DESC, token LIMIT {N_ENDINGS}),
@@ -162,8 +163,48 @@ MODEL_ROWS = " UNION ALL ".join(
 RUNS = f"SELECT doc_id, win, {three_way(chr(39) + chr(39) + ' || doc_id || ' + chr(39) + ':' + chr(39) + ' || win')} AS split FROM wins"
 
 
+CAPPED = """SELECT doc_id, win, batch, w FROM (SELECT doc_id, win, batch, room, w,
+ row_number() OVER (PARTITION BY batch ORDER BY doc_id, win) AS place FROM wins JOIN (
+ SELECT doc_id, idx // 100 AS batch, count(*) OVER (PARTITION BY idx // 100) AS room FROM (
+ SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM docs)) USING (doc_id)) WHERE place <= room"""
+
+
+OWN_LOSS = """SELECT sample, item, p::INT AS pos, p / 512.0 + 1.0::DOUBLE / (1 + w[p + 1]) + len(w) / 1000.0 AS loss
+ FROM (SELECT sample, item, w, unnest(range(1, len(w) - 1)) AS p FROM firsts)"""
+
+
 def oracles() -> dict[str, str]:
     return {
+        "parquet_roundtrip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+        "comma_csv_roundtrip": "SELECT conv_id, turn, role, text FROM conversations",
+        "sample_json_roundtrip": f"SELECT text FROM ({HELD_OUT})",
+        "results_roundtrip": """SELECT source AS model, lang AS sample, text, n_chars / 8.0::DOUBLE AS ppl FROM documents""",
+        "statistics_roundtrip": f"""WITH {described('SELECT source AS model, lang AS sample, n_chars AS x FROM documents',
+ 'model, sample')}""",
+        "vocabulary_roundtrip": f"""WITH {VOCABULARY} SELECT token, id::INT AS id FROM special UNION ALL SELECT token, id FROM vocab""",
+        "vocabulary_file_roundtrip": f"""WITH {VOCABULARY} SELECT token, id::INT AS id FROM special UNION ALL SELECT token, id FROM vocab""",
+        "rows_by_index": """SELECT idx, doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents)
+ WHERE idx IN (SELECT doc_id FROM labels)""",
+        "lookup_hot_keys": """SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n_docs,
+ (sum(n_chars) OVER (PARTITION BY source))::BIGINT AS sum_chars FROM documents""",
+        "dense_index_text_key": """SELECT source || '/' || doc_id AS key,
+ row_number() OVER (ORDER BY source || '/' || doc_id) - 1 AS idx FROM documents""",
+        "head_50": f"SELECT doc_id, text FROM documents WHERE {TEST} ORDER BY doc_id LIMIT 50",
+        "quantiles_by_ranges": """SELECT event_type, share, round(CASE share WHEN 0.25 THEN a WHEN 0.5 THEN b WHEN 0.75 THEN c ELSE d END, 6) AS value
+ FROM (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c,
+ quantile_cont(value, 0.99) AS d FROM events GROUP BY event_type), (SELECT unnest([0.25, 0.5, 0.75, 0.99]::DOUBLE[]) AS share)""",
+        "completeness": """SELECT source, count(*) AS n_expected, count(l.doc_id) AS n_finished, count(*) - count(l.doc_id) AS n_missing
+ FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source""",
+        "own_scorer": encoded(
+            HELD_OUT,
+            by_text(OWN_LOSS, "batch"),
+        ).replace("exp(avg(m)) AS ppl", "round(exp(avg(m)), 6) AS ppl"),
+        "chunk_cap_100": documents(f"SELECT doc_id, win, batch FROM ({CAPPED})"),
+        "legacy_corpus_capped": encoded(
+            "SELECT '' AS sample, doc_id AS item, text FROM documents WHERE length(text) >= 30",
+            f"""SELECT doc_id, win, {two_way(666, 'doc_id', 0.1)} AS split, md5({joined('list_resize(w, 512, 0)')}) AS ids_md5
+ FROM ({CAPPED})""",
+        ),
         "csv_roundtrip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "split_roundtrip": f"SELECT doc_id, text FROM documents WHERE {TEST}",
         "explode_results": "SELECT doc_id, source AS model, text, n_chars / 8.0::DOUBLE AS ppl FROM documents",
@@ -229,6 +270,16 @@ SELECT word, cnt, {joined('ids')} AS ids FROM dict JOIN spelled USING (word)""",
             f"""SELECT doc_id, {joined('[2] || ids || [3]')} AS input_ids,
  {joined('list_resize([1], len(ids) + 2, 1)')} AS attention_mask,
  {joined('[1] || list_resize([]::INT[], len(ids), 0) || [1]')} AS special_tokens_mask FROM docs"""
+        ),
+        "special_masks_literal": documents(
+            f""", v AS (SELECT max(id) FILTER (WHERE token = 'a') AS a, max(id) FILTER (WHERE token = 'b') AS b FROM vocab),
+ lit AS (SELECT doc_id, [0, a, 3] || ids || [4, b, 2] AS ids FROM docs, v),
+ cut AS (SELECT doc_id, win::INT AS win, [2] || ids[win * 254 + 1 : win * 254 + 510] || [3] AS w FROM (
+  SELECT doc_id, ids, unnest(range((CASE WHEN len(ids) <= 510 THEN 1 ELSE 1 + ceil((len(ids) - 510) / 254.0) END)::INT)) AS win
+  FROM lit))
+SELECT doc_id, win, {joined('list_resize(w, 512, 0)')} AS input_ids,
+ {joined('list_resize(list_resize([1], len(w), 1), 512, 0)')} AS attention_mask,
+ {joined('list_resize([1] || list_resize([]::INT[], len(w) - 2, 0), 512, 1)')} AS special_tokens_mask FROM cut"""
         ),
         "truncate_first": documents(f"SELECT item AS doc_id, {joined('w')} AS input_ids FROM firsts"),
         "pad_static": documents(

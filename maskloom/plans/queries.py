@@ -13,6 +13,7 @@ from maskloom.operators import (
     audit,
     cleaning,
     encoding,
+    lookup,
     masking,
     ordering,
     scoring,
@@ -23,7 +24,7 @@ from maskloom.operators import (
 )
 from maskloom.plans import recipes
 from maskloom.session import materialise, scratch_path, spread
-from maskloom.sources import tables
+from maskloom.sources import artifacts, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -114,6 +115,79 @@ def explode_results(spark: SparkSession, sf: str) -> DataFrame:
     return tables.explode_results(_documents(spark, sf).select("doc_id", nested.alias("json")), "json")
 
 
+@query
+def parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "parquet")
+    tables.write_parquet(_documents(spark, sf), path)
+    return tables.read_parquet(spark, path)
+
+
+@query
+def comma_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    talks = spark.read.parquet(f"{sf}/conversations.parquet")
+    path = scratch_path(spark, "csv")
+    tables.write_csv(talks, path, ",")
+    return tables.read_csv(spark, path, talks.schema, ",")
+
+
+@query
+def sample_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "sample")
+    tables.write_sample(_held_out(spark, sf), path)
+    return tables.read_sample(spark, path)
+
+
+@query
+def results_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _documents(spark, sf).select(
+        F.col("source").alias("model"), F.col("lang").alias("sample"), "text", (F.col("n_chars") / 8.0).alias("ppl")
+    )
+    path = scratch_path(spark, "results")
+    tables.write_results(rows, path)
+    return tables.read_result_rows(spark, path, "model string, sample string, text string, ppl double")
+
+
+@query
+def statistics_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf, "source", "lang", "n_chars")
+    rows = docs.select(F.col("source").alias("model"), F.col("lang").alias("sample"), "n_chars")
+    path = scratch_path(spark, "statistics")
+    tables.write_statistics(summary.describe(rows, ["model", "sample"], "n_chars"), path)
+    read = tables.read_statistics(spark, path)
+    return read.select("model", "sample", "stat", F.round("value", 6).alias("value"))
+
+
+@query
+def vocabulary_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "vocabulary")
+    artifacts.save_vocabulary(_vocabulary(spark, sf), spark, path)
+    return artifacts.load_vocabulary(spark, path).token_table(spark)
+
+
+@query
+def vocabulary_file_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "vocabulary-file")
+    artifacts.save_tokenizer_files(_vocabulary(spark, sf), path)
+    return artifacts.load_wordpiece_file(f"{path}/vocab.txt").token_table(spark)
+
+
+@query
+def rows_by_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents at the positions that the labelled documents' ids name."""
+    docs = ordering.dense_index(_documents(spark, sf, "doc_id"), "doc_id")
+    wanted = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("idx")).distinct()
+    return lookup.semi_lookup(docs, wanted, ["idx"])
+
+
+@query
+def lookup_hot_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the totals of its source, by the way for tables that are too large to broadcast."""
+    docs = materialise(_documents(spark, sf, "doc_id", "source", "n_chars"), "facts")
+    totals = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("sum_chars"))
+    totals = materialise(totals, "totals")
+    return lookup.lookup(docs.drop("n_chars"), totals, ["source"], share=0.1, max_broadcast=0)
+
+
 # Filters and cleaning
 
 
@@ -185,6 +259,19 @@ def head_n(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.head(docs.where(F.col("split") == "test"), "doc_id", 1000).select("doc_id", "text")
 
 
+@query
+def dense_index_text_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions in the order of a text key."""
+    keyed = _documents(spark, sf, "doc_id", "source").select(F.concat_ws("/", "source", "doc_id").alias("key"))
+    return ordering.dense_index(materialise(keyed, "keys"), "key")
+
+
+@query
+def head_50(spark: SparkSession, sf: str) -> DataFrame:
+    docs = splitting.threshold_split(_documents(spark, sf, "doc_id", "text"), "doc_id", test_size=0.1, seed=666)
+    return cleaning.head(docs.where(F.col("split") == "test"), "doc_id", 50).select("doc_id", "text")
+
+
 # Shuffle, split, sample
 
 
@@ -364,6 +451,21 @@ def special_masks(spark: SparkSession, sf: str) -> DataFrame:
     return masks.select("doc_id", *[_text(c).alias(c) for c in ("input_ids", "attention_mask", "special_tokens_mask")])
 
 
+@query
+def special_masks_literal(spark: SparkSession, sf: str) -> DataFrame:
+    """Special tokens written out in the texts have their ids, but count as text in the masks."""
+    vocab = _vocabulary(spark, sf)
+    text = F.concat(F.lit("[PAD] a [SEP] "), "text", F.lit(" [MASK] b [CLS]"))
+    docs = _documents(spark, sf, "doc_id", "text").withColumn("text", text)
+    encoded = encoding.encode_wordpiece(docs, vocab, special_tokens=T.SPECIAL_TOKENS)
+    specials = K.Specials.of(vocab.tokens)
+    cut = windows.model_inputs(windows.token_windows(encoded, specials=specials))
+    masks = windows.pad_static(cut, specials=specials)
+    return masks.select(
+        "doc_id", "win", *[_text(c).alias(c) for c in ("input_ids", "attention_mask", "special_tokens_mask")]
+    )
+
+
 @query
 def truncate_first(spark: SparkSession, sf: str) -> DataFrame:
     return windows.truncate_first(_encoded(spark, sf)).select("doc_id", _text("input_ids").alias("input_ids"))
@@ -371,7 +473,7 @@ def truncate_first(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pad_static(spark: SparkSession, sf: str) -> DataFrame:
-    padded = windows.model_inputs(windows.pad_static(windows.token_windows(_encoded(spark, sf))))
+    padded = windows.pad_static(windows.model_inputs(windows.token_windows(_encoded(spark, sf))))
     return padded.select("doc_id", "win", *[_text(c).alias(c) for c in ("input_ids", "attention_mask")])
 
 
@@ -392,6 +494,13 @@ def chunk_cap(spark: SparkSession, sf: str) -> DataFrame:
     return windows.chunk_cap(indexed, "idx", 1000).select("doc_id", "win", "batch")
 
 
+@query
+def chunk_cap_100(spark: SparkSession, sf: str) -> DataFrame:
+    """The cap over batches of 100 documents, so that it bites in each of many batches."""
+    per_document = materialise(windows.windows_per_document(_encoded(spark, sf)), "document-sizes")
+    return windows.chunk_cap(ordering.dense_index(per_document, "doc_id"), "idx", 100).select("doc_id", "win", "batch")
+
+
 @query
 def token_length_stats(spark: SparkSession, sf: str) -> DataFrame:
     encoded = splitting.threshold_split(_encoded(spark, sf), "doc_id", test_size=0.1, seed=666)
@@ -447,7 +556,7 @@ def _losses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bigram_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return _losses(spark, sf).withColumn("loss", F.round("loss", 6))
+    return _losses(spark, sf).drop("n").withColumn("loss", F.round("loss", 6))
 
 
 def _perplexity(spark: SparkSession, sf: str, weighting: str) -> DataFrame:
@@ -497,6 +606,35 @@ def events_describe(spark: SparkSession, sf: str) -> DataFrame:
     return summary.describe(events, ["event_type"], "value").withColumn("value", F.round("value", 6))
 
 
+@query
+def quantiles_by_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact quartiles of all events by the way for more values than a task should hold."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    found = summary.exact_quantiles(events, ["event_type"], "value", [0.25, 0.5, 0.75, 0.99], 64, max_values=0)
+    return found.select("event_type", "share", F.round("value", 6).alias("value"))
+
+
+@query
+def completeness(spark: SparkSession, sf: str) -> DataFrame:
+    expected = _documents(spark, sf, "doc_id", "source")
+    return summary.completeness(expected, spark.read.parquet(f"{sf}/labels.parquet"), ["doc_id"], ["source"])
+
+
+@query
+def own_scorer(spark: SparkSession, sf: str) -> DataFrame:
+    """Pseudo-perplexity with a scorer passed in: here a loss that falls with the token's id and grows with its place."""
+    vocab = _vocabulary(spark, sf)
+    encoded = encoding.encode_wordpiece(_held_out(spark, sf), vocab)
+    expanded = masking.expand_masks(windows.truncate_first(encoded), ITEM)
+
+    def make():
+        return lambda rows: rows["pos"] / 512 + 1 / (1 + rows["label"]) + rows["masked_ids"].map(len) / 1000
+
+    losses = scoring.score_with(expanded, ITEM, make)
+    scored = scoring.pseudo_perplexity(losses, ITEM)
+    return scored.select(*ITEM, "n_tokens", F.round("ppl", 6).alias("ppl"))
+
+
 @query
 def missing_results(spark: SparkSession, sf: str) -> DataFrame:
     expected = split_threshold(spark, sf).where(F.col("split") == "test")
@@ -518,6 +656,14 @@ def legacy_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", "win", "split", F.md5(_text("input_ids")).alias("ids_md5"))
 
 
+@query
+def legacy_corpus_capped(spark: SparkSession, sf: str) -> DataFrame:
+    made = recipes.legacy_windows(
+        _documents(spark, sf), _vocabulary(spark, sf), ["lang", "source", "n_chars"], cap_batch=100
+    )
+    return made.select("doc_id", "win", "split", F.md5(_text("input_ids")).alias("ids_md5"))
+
+
 @query
 def current_corpus(spark: SparkSession, sf: str) -> DataFrame:
     made = recipes.current_windows(_with_quality(spark, sf), _vocabulary(spark, sf))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions import tokens as K
-from maskloom.operators import cleaning, encoding, scoring, splitting, summary, windows
+from maskloom.operators import cleaning, encoding, ordering, scoring, splitting, summary, windows
 from maskloom.operators.vocabulary import Vocabulary
 from maskloom.session import materialise
 
@@ -17,11 +17,22 @@ def clean_corpus(df: DataFrame, drop: list[str], key: str = "doc_id") -> DataFra
     return splitting.threshold_split(cleaning.strip_text(kept), key, test_size=0.1, seed=666)
 
 
-def legacy_windows(df: DataFrame, vocabulary: Vocabulary, drop: list[str], key: str = "doc_id") -> DataFrame:
-    """The older build: clean, encode, overlapping windows padded to full length, with masks."""
+def legacy_windows(
+    df: DataFrame, vocabulary: Vocabulary, drop: list[str], key: str = "doc_id", cap_batch: int | None = None
+) -> DataFrame:
+    """The older build: clean, encode, overlapping windows padded to full length, with masks.
+
+    ``cap_batch`` turns on the chunk cap: of each so many documents, only as many windows stay as there are documents.
+    """
     corpus = clean_corpus(df, drop, key)
     encoded = encoding.encode_wordpiece(corpus.select(key, "split", "text"), vocabulary)
-    return windows.model_inputs(windows.pad_static(windows.token_windows(encoded)))
+    if cap_batch is not None:
+        encoded = materialise(encoded, "encoded")
+        sizes = materialise(windows.windows_per_document(encoded.select(key, "ids")), "document-sizes")
+        kept = windows.chunk_cap(ordering.dense_index(sizes, key), "idx", cap_batch).select(key, "win")
+        cut = windows.token_windows(encoded).join(kept, [key, "win"], "left_semi")
+        return windows.pad_static(windows.model_inputs(cut))
+    return windows.pad_static(windows.model_inputs(windows.token_windows(encoded)))
 
 
 def current_windows(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", unit: str = "doc") -> DataFrame:
@@ -45,7 +56,7 @@ def train_bigrams(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def held_out_positions(texts: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
     """The maskable positions of the first window of each text, as a table."""
     encoded = encoding.encode_wordpiece(texts.select(*keys, "text"), vocabulary)
-    return materialise(scoring.bigrams(windows.truncate_first(encoded), keys), "positions")
+    return materialise(scoring.bigrams(windows.truncate_first(encoded), keys, with_size=True), "positions")
 
 
 def score_held_out(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +38,8 @@ def build_session(app: str = "maskloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where a cluster names none this fails, because a folder of one machine would lose data there.
+    Where a cluster names none this fails, because a folder of one machine would lose data there. So does a folder
+    on a cluster machine's own disks, unless ``maskloom.checkpoint.shared`` is set to say that all machines mount it.
     A local session without the setting gets a temporary folder.
     """
     context = spark.sparkContext
@@ -45,11 +50,43 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="maskloom-")
+    if not context.master.startswith("local") and _on_own_disk(spark, base):
+        raise ValueError(f"{base} is on one machine's disk; if all machines mount it, set maskloom.checkpoint.shared")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _on_own_disk(spark: SparkSession, path: str) -> bool:
+    """Whether a path without a stated address, or with that of a local disk, is meant.
+
+    An address written out as ``file:`` in the cluster's own settings counts as a shared mount.
+    """
+    if spark.conf.get("maskloom.checkpoint.shared", "false") == "true" or path.startswith("file:"):
+        return False
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file"
+
+
+@contextmanager
+def shipped_zip() -> Iterator[str]:
+    """A zip of this package, as long as the block lasts."""
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory(prefix="maskloom-ship-") as folder:
+        yield shutil.make_archive(f"{folder}/maskloom", "zip", root.parent, root.name)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package where it is not installed: a zip of it is added to the session's files.
+
+    Call it once after the session starts. With the package installed on all machines it is not needed. The zip is
+    served by the driver to each executor; it stays until the driver ends.
+    """
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="maskloom-ship-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/maskloom", "zip", root.parent, root.name))
+
+
 def _run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/maskloom-{spark.sparkContext.applicationId}"
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.operators.vocabulary import Vocabulary
+from maskloom.operators.vocabulary import CONTINUATION, Vocabulary
+from maskloom.sources.files import read_file, save_file
 
 # The settings stored beside a vocabulary.
 CONFIG = {
@@ -39,6 +42,39 @@ def load_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
     return Vocabulary.from_tables(spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/merges"))
 
 
+def save_tokenizer_files(vocabulary: Vocabulary, path: str) -> None:
+    """The files that the tokenizers library opens: ``vocab.txt``, or ``vocab.json`` and ``merges.txt`` for BPE."""
+    names = sorted(vocabulary.tokens, key=vocabulary.tokens.get)
+    if [vocabulary.tokens[n] for n in names] != list(range(len(names))):
+        raise ValueError("ids must run from 0 without a gap")
+    if any(CONTINUATION in left[:2] or CONTINUATION in right[:2] for left, right in vocabulary.merges) or not (
+        vocabulary.merges
+    ):
+        save_file(f"{path}/vocab.txt", "".join(f"{n}\n" for n in names).encode())
+        return
+    save_file(f"{path}/vocab.json", json.dumps(vocabulary.tokens, ensure_ascii=False).encode())
+    merges = "".join(f"{left} {right}\n" for left, right in vocabulary.merges)
+    save_file(f"{path}/merges.txt", ("#version: 0.2\n" + merges).encode())
+
+
+def load_wordpiece_file(path: str) -> Vocabulary:
+    """A ``vocab.txt``: one token a line, its id is the line number from 0."""
+    lines = read_file(path).decode().split("\n")
+    if lines and not lines[-1]:
+        lines.pop()
+    return Vocabulary({line.removesuffix("\r"): i for i, line in enumerate(lines)})
+
+
+def load_byte_level_files(vocab: str, merges: str) -> Vocabulary:
+    """A ``vocab.json`` with its ``merges.txt``."""
+    tokens = json.loads(read_file(vocab))
+    lines = [x for x in read_file(merges).decode().split("\n") if x and not x.startswith("#version")]
+    pairs = [tuple(line.split(" ")) for line in lines]
+    if len(pairs) > Vocabulary.MAX_TOKENS:
+        raise ValueError(f"{len(pairs)} merges are too many to broadcast")
+    return Vocabulary(dict(sorted(tokens.items(), key=lambda t: t[1])), pairs)
+
+
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """The settings as one row."""
     return spark.read.schema(CONFIG_SCHEMA).option("multiLine", "true").json(path)

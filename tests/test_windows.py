@@ -37,7 +37,7 @@ def test_windows_put_together_give_the_text(spark, sizes, length, overlap):
     texts = {r["doc_id"]: r["ids"] for r in df.collect()}
     for doc, parts in windows_of(W.token_windows(df, max_length=length, overlap=overlap)).items():
         content = [p[1:-1] for p in parts]
-        assert all(p[0] == K.CLS and p[-1] == K.SEP and len(p) <= length for p in parts)
+        assert all(p[0] == K.SPECIALS.cls and p[-1] == K.SPECIALS.sep and len(p) <= length for p in parts)
         assert all(a[len(a) - overlap :] == b[:overlap] for a, b in zip(content, content[1:]))
         assert content[0] + [t for p in content[1:] for t in p[overlap:]] == texts[doc]
 
@@ -53,7 +53,7 @@ def test_padding(spark):
     for row in W.model_inputs(W.pad_static(cut)).collect():
         n = sum(row["attention_mask"])
         assert len(row["input_ids"]) == len(row["attention_mask"]) == len(row["special_tokens_mask"]) == 512
-        assert row["input_ids"][n:] == [K.PAD] * (512 - n)
+        assert row["input_ids"][n:] == [K.SPECIALS.pad] * (512 - n)
         assert [i for i, s in enumerate(row["special_tokens_mask"]) if not s] == list(range(1, n - 1))
     sized = W.window_sizes(df)
     real = {(r["doc_id"], r["win"]): len(r["input_ids"]) for r in cut.collect()}
@@ -87,7 +87,7 @@ def test_masks(spark):
             assert masked[key]["labels"][pos] == (step["label"] if step else K.IGNORE)
             assert masked[key]["input_ids"][pos] == (step["new_id"] if step else token)
             if step:
-                assert token == step["label"] and token not in (K.PAD, K.CLS, K.SEP)
+                assert token == step["label"] and token not in (K.SPECIALS.pad, K.SPECIALS.cls, K.SPECIALS.sep)
     rates = M.mask_rates(df, keys).first()
     assert rates["n_chosen"] == len(plan)
     assert 0.13 < rates["n_chosen"] / rates["n_maskable"] < 0.17
@@ -103,6 +103,6 @@ def test_expansion_masks_one_position(spark):
     texts = {r["doc_id"]: r["input_ids"] for r in df.collect()}
     for row in rows:
         restored = list(row["masked_ids"])
-        assert restored[row["pos"]] == K.MASK
+        assert restored[row["pos"]] == K.SPECIALS.mask
         restored[row["pos"]] = row["label"]
         assert restored == texts[row["doc_id"]]
