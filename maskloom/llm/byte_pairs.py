@@ -19,22 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from maskloom.functions.bytepairs import merge_pairs, merge_table
+from maskloom.functions.bytepairs import BatchMerger, merge_table
 from maskloom.llm.common import Memo, annotate, list_array, texts_of
+from maskloom.llm.library import byte_letters, split_pieces, spread_ids
 
 _READY: dict = {}
 
 
-def byte_letters() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    letters, spare = [], 256
-    for byte in range(256):
-        letters.append(chr(byte) if byte in shown else chr(spare))
-        spare += byte not in shown
-    return letters
-
-
 class Codec:
     """Encoder and decoder of a BPE vocabulary with word ends, read from the text of its file."""
 
@@ -49,55 +40,52 @@ class Codec:
         model = data["model"]
         self.end = model.get("end_of_word_suffix") or ""
         ids: dict[str, int] = model["vocab"]
-        self.merges = merge_table([(ids[a], ids[b], ids[a + b]) for a, b in model["merges"]])
+        self.merger = BatchMerger(merge_table([(ids[a], ids[b], ids[a + b]) for a, b in model["merges"]]))
         self.letters = byte_letters()
-        self.inner = [ids[c] for c in self.letters]
-        self.final = [ids[c + self.end] for c in self.letters]
+        self.inner = np.array([ids[c] for c in self.letters])
+        self.final = np.array([ids[c + self.end] for c in self.letters])
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.joined = self._joined(ids)
         # for letters up to U+024F both engines know the same classes, and composing changes nothing
         self.pattern = regex.compile(data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.fragments = Memo(self._fragment, 200_000)
-        self.pieces = Memo(self._piece, 500_000)
+        self.pieces = Memo(limit=600_000)
 
-    def _joined(self, ids: dict[str, int]) -> list[bytes]:
-        """For each byte a row that says which bytes follow it inside some token."""
+    def _joined(self, ids: dict[str, int]) -> np.ndarray:
+        """Whether the second byte follows the first inside some token."""
         byte_of = {c: b for b, c in enumerate(self.letters)}
-        rows = [bytearray(256) for _ in range(256)]
+        table = np.zeros((256, 256), bool)
         for token in ids:
             if self.end and token.endswith(self.end):
                 token = token[: -len(self.end)]
             values = [byte_of[c] for c in token]
-            for left, right in zip(values, values[1:]):
-                rows[left][right] = 1
-        return [bytes(row) for row in rows]
-
-    def cut(self, word: bytes) -> list[bytes]:
-        """The fragments between forced boundaries."""
-        joined, out, start = self.joined, [], 0
-        for i in range(1, len(word)):
-            if not joined[word[i - 1]][word[i]]:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
-
-    def _fragment(self, key: tuple[bytes, bool]) -> list[int]:
-        fragment, last = key
-        inner = self.inner
-        symbols = [inner[b] for b in fragment]
-        if last:
-            symbols[-1] = self.final[fragment[-1]]
-        return merge_pairs(symbols, self.merges)
-
-    def _word(self, word: bytes) -> list[int]:
-        *front, last = self.cut(word)
-        out: list[int] = []
-        for fragment in front:
-            out += self.fragments[fragment, False]
-        return out + self.fragments[last, True]
+            table[values[:-1], values[1:]] = True
+        return table
+
+    def cuts(self, letters: np.ndarray) -> np.ndarray:
+        """For each byte whether a forced boundary lies before it."""
+        return np.concatenate([[True], ~self.joined[letters[:-1], letters[1:]]]) if len(letters) else np.zeros(0, bool)
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids, and the number of ids of each word; no word is empty.
+
+        The words are cut into fragments at word starts and forced boundaries, each fragment is merged by itself,
+        and the ids stand in the order of the fragments.
+        """
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(lengths) - lengths
+        symbols = self.inner[letters]
+        last = starts + lengths - 1
+        symbols[last] = self.final[letters[last]]
+        cut = self.cuts(letters)
+        cut[starts] = True
+        places = np.flatnonzero(cut)
+        ids, counts = self.merger.merge(symbols, np.diff(places, append=len(letters)))
+        return ids, np.add.reduceat(counts, np.searchsorted(places, starts))
 
     def _words(self, text: str) -> list[bytes]:
         """The words that the library's normaliser and splitter make of a text without special tokens."""
@@ -107,20 +95,49 @@ class Codec:
         pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
         return [bytes(map(byte_of.__getitem__, piece)) for piece, _ in pieces]
 
-    def _piece(self, text: str) -> bytes:
-        out: list[int] = []
-        parts = self.split_special.split(text) if self.split_special else [text]
-        for i, part in enumerate(parts):
-            if i % 2:
-                out.append(self.special[part])
-            elif part:
-                for word in self._words(part):
-                    out += self._word(word)
-        return np.asarray(out, "<u4").tobytes()
+    def _fill(self, pieces: list[str]) -> None:
+        """Encode the distinct pieces that are not known, all their words side by side."""
+        self.pieces.turn()
+        missing = self.pieces.recall(pieces)
+        # special tokens stand among the words as numbers
+        rows = []
+        for piece in missing:
+            if self.split_special and "<|" in piece:
+                row = []
+                for i, part in enumerate(self.split_special.split(piece)):
+                    row += [self.special[part]] if i % 2 else self._words(part) if part else []
+                rows.append(row)
+            else:
+                rows.append(self._words(piece) if piece else [])
+        ids, counts = self.encode_words([w for row in rows for w in row if isinstance(w, bytes)])
+        ends = np.cumsum(counts).tolist()
+        data, at, word = ids.astype("<u4").tobytes(), 0, 0
+        for piece, row in zip(missing, rows):
+            if all(isinstance(w, bytes) for w in row):
+                word += len(row)
+                end = 4 * ends[word - 1] if row else at
+                self.pieces[piece] = data[at:end]
+                at = end
+                continue
+            parts = []
+            for w in row:
+                if isinstance(w, bytes):
+                    parts.append(data[at : 4 * ends[word]])
+                    at, word = 4 * ends[word], word + 1
+                else:
+                    parts.append(int(w).to_bytes(4, "little"))
+            self.pieces[piece] = b"".join(parts)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids as unsigned 32-bit numbers. White space makes no token, so blanks are boundaries as well."""
+        if not texts:
+            return []
+        pieces, codes, offsets = split_pieces(texts)
+        self._fill(pieces)
+        return spread_ids(list(map(self.pieces.__getitem__, pieces)), codes, offsets)
 
     def encode(self, text: str) -> bytes:
-        """Ids as unsigned 32-bit numbers. White space makes no token, so blanks are boundaries as well."""
-        return b"".join(map(self.pieces.__getitem__, text.split(" ")))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens with a blank between them, which is what a vocabulary file without decoder says."""
@@ -143,7 +160,7 @@ def encode(df: DataFrame, text: str, vocabulary: str, keep: list[str] | None = N
         one = codec(vocabulary)
 
         def work(array):
-            encoded = [one.encode(t) for t in texts_of(array)]
+            encoded = one.encode_all(texts_of(array))
             lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
             return [list_array(np.frombuffer(b"".join(encoded), "<i4"), lengths, pa.int32())]
 

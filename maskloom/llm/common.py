@@ -61,17 +61,40 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Memo(dict):
-    """A dictionary that computes what is missing; emptied when it holds ``limit`` entries, so memory is bounded."""
+    """A dictionary that computes what is missing and holds at most about ``limit`` entries.
 
-    def __init__(self, compute: Callable, limit: int = MEMO):
+    When half of them are new, the older half goes, save what has been asked for again meanwhile.
+    """
+
+    def __init__(self, compute: Callable | None = None, limit: int = MEMO):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.old = compute, limit, {}
 
-    def __missing__(self, key):
-        value = self.compute(key)
-        if len(self) >= self.limit:
+    def store(self, key, value) -> None:
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
             self.clear()
         self[key] = value
+
+    def recall(self, keys) -> list:
+        """Of distinct keys those that are in neither half; the others are in the new half afterwards."""
+        missing, old = [key for key in keys if key not in self], self.old
+        if not old:
+            return missing
+        self.update({key: old[key] for key in missing if key in old})
+        return [key for key in missing if key not in old]
+
+    def turn(self) -> None:
+        """Let the older half go when the new one is full. Not between ``recall`` and the use of what it recalled."""
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self.store(key, value)
         return value
 
 

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from maskloom.llm.common import Memo
+
+# fixed value: how byte-level vocabularies of this kind split a text
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _READY: dict = {}
-# a blank after white space, or at the start: there the cut before a blank is not safe
-_IRREGULAR = re.compile(r"(?:\A|\s) ")
 _SAFE = re.compile(r"(?<=\S)(?= )")
-LIMIT = 300_000
+# Latin letters, digits and signs without white space: for these both regex engines know the same classes, and
+# composing characters changes nothing
+_PLAIN = re.compile("[!-~\u00a1-\u024f]+")
+LIMIT = 800_000
+TOGETHER = 1000
 
 
 def read_vocabulary(path: str) -> str:
@@ -20,18 +30,51 @@ def read_vocabulary(path: str) -> str:
         return file.read()
 
 
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    letters, spare = [], 256
+    for byte in range(256):
+        letters.append(chr(byte) if byte in shown else chr(spare))
+        spare += byte not in shown
+    return letters
+
+
+def split_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Cut texts at blanks: the distinct pieces, the piece at each place, and where each text starts."""
+    parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    coded = parts.flatten().dictionary_encode()
+    offsets = parts.offsets.to_numpy().astype(np.int64)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets - offsets[0]
+
+
+def spread_ids(values: list[bytes], codes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The ids (4 bytes each) of all pieces of each text, given those of each distinct piece."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    starts = np.cumsum(sizes) - sizes
+    flat = np.frombuffer(b"".join(values), "<u4")
+    width = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(width)])
+    # place of each id inside the run of its piece
+    picks = np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[codes], width)
+    data, cuts = flat[picks].tobytes(), (4 * ends[offsets]).tolist()
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 class TextEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     No token reaches across the place between a character other than white space and a blank, so texts are cut
     there, distinct pieces are encoded once and kept in a bounded cache, and the ids are put together.
     Where ``blanks_matter`` is false (the vocabulary drops white space) every blank is such a place.
+
+    Pieces of plain Latin text are split here, and the library's model merges them, many in one call; all others go
+    through the library as they are.
     """
 
     def __init__(self, vocabulary: str, blanks_matter: bool):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
@@ -39,37 +82,62 @@ class TextEncoder:
         self.tokenizer.no_padding()
         self.blanks_matter = blanks_matter
         # pieces after a blank, without it; pieces as they are
-        self.after, self.whole = {}, {}
-
-    def _fill(self, known: dict, pieces: set, prefix: str) -> None:
-        missing = list(pieces - known.keys())
-        if len(known) + len(missing) > LIMIT:
-            known.clear()
-            missing = list(pieces)
-        encoded = self.tokenizer.encode_batch_fast([prefix + p for p in missing], add_special_tokens=False)
-        for piece, one in zip(missing, encoded):
-            known[piece] = np.asarray(one.ids, "<u4").tobytes()
+        self.after, self.whole = Memo(limit=LIMIT), Memo(limit=LIMIT)
+        data = json.loads(vocabulary)
+        self.lower = not blanks_matter
+        pattern = BYTE_LEVEL if blanks_matter else data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(pattern if blanks_matter else pattern + r"|\n")
+        # the same model over words that are split and spelled already
+        data |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(data))
+        letters = byte_letters()
+        self.spell = {byte: letters[byte] for byte in range(256)} | {9: " "}
+        # a line break stands in no plain piece, so its token marks where one ends
+        self.mark = self.model.token_to_id(letters[10] + (data["model"].get("end_of_word_suffix") or ""))
+
+    def _plain(self, pieces: list[str], prefix: str) -> list[bytes]:
+        text = "".join([f"{prefix}{p}\n" for p in pieces])
+        words = "\t".join(self.pattern.findall(text.lower() if self.lower else text))
+        spelled = words.encode().decode("latin-1").translate(self.spell)
+        ids = np.asarray(self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * np.flatnonzero(ids == self.mark)
+        data, starts = ids.tobytes(), np.concatenate([[0], ends[:-1] + 4])
+        return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+    def _fill(self, known: Memo, pieces: list[str], prefix: str) -> list[bytes]:
+        """The ids of distinct pieces."""
+        known.turn()
+        missing = known.recall(pieces)
+        plain = [p for p in missing if _PLAIN.fullmatch(p) and "<|" not in p]
+        for start in range(0, len(plain), TOGETHER):
+            some = plain[start : start + TOGETHER]
+            known.update(zip(some, self._plain(some, prefix)))
+        odd = [p for p in missing if p not in known]
+        encoded = self.tokenizer.encode_batch_fast([prefix + p for p in odd], add_special_tokens=False)
+        known.update({p: np.asarray(one.ids, "<u4").tobytes() for p, one in zip(odd, encoded)})
+        return list(map(known.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain, cut, after, whole = [], [], set(), set()
-        for text in texts:
-            if self.blanks_matter and _IRREGULAR.search(text):
-                pieces = _SAFE.split(text)
-                whole.update(pieces)
-                plain.append(None)
-            else:
-                pieces = text.split(" ")
-                whole.add(pieces[0])
-                after.update(pieces[1:])
-                plain.append(True)
-            cut.append(pieces)
-        self._fill(self.whole, whole, "")
-        self._fill(self.after, after, " " if self.blanks_matter else "")
-        first, rest = self.whole.__getitem__, self.after.__getitem__
-        return [
-            first(pieces[0]) + b"".join(map(rest, pieces[1:])) if ok else b"".join(map(first, pieces))
-            for ok, pieces in zip(plain, cut)
-        ]
+        if not texts:
+            return []
+        pieces, codes, offsets = split_pieces(texts)
+        if not self.blanks_matter:
+            return spread_ids(self._fill(self.after, pieces, ""), codes, offsets)
+        # a blank after white space, or at the start: there the cut before the blank is not safe
+        unsafe = np.array([not p or p[-1].isspace() for p in pieces])[codes]
+        unsafe[offsets[1:] - 1] = False
+        apart = np.flatnonzero(np.add.reduceat(unsafe, offsets[:-1], dtype=np.int64))
+        values = self._fill(self.after, pieces, " ")
+        # the first piece of a text has no blank before it
+        firsts = [pieces[c] for c in codes[offsets[:-1]].tolist()]
+        distinct = list(dict.fromkeys(firsts))
+        at = {p: len(values) + i for i, p in enumerate(distinct)}
+        codes = codes.astype(np.int64)
+        codes[offsets[:-1]] = [at[p] for p in firsts]
+        out = spread_ids(values + self._fill(self.whole, distinct, ""), codes, offsets)
+        for i in apart.tolist():
+            out[i] = b"".join(self._fill(self.whole, _SAFE.split(texts[i]), ""))
+        return out
 
 
 def encoder(vocabulary: str, blanks_matter: bool) -> Callable[[list[str]], list[bytes]]:

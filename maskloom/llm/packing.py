@@ -25,7 +25,7 @@ from maskloom.llm.common import annotate, name, texts_of
 from maskloom.llm.library import encoder
 from maskloom.session import materialise
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 5_000
 
 
 # Documents to pieces

@@ -20,11 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.bytepairs import merge_pairs, merge_table
-from maskloom.llm.byte_pairs import byte_letters
 from maskloom.llm.common import Memo, annotate, list_array, texts_of
+from maskloom.llm.library import BYTE_LEVEL, byte_letters
 
-# fixed value: how byte-level vocabularies of this kind split a text
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _READY: dict = {}
 _IRREGULAR = re.compile(r"(?:\A|\s) ")
 _SAFE = re.compile(r"(?<=\S)(?= )")
@@ -49,7 +47,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.ids))
         self.special = [t["content"] for t in data["added_tokens"]]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.pattern = regex.compile(PATTERN)
+        self.pattern = regex.compile(BYTE_LEVEL)
         self.stable = Memo(self._stable, 1_000_000)
         self.after = Memo(lambda piece: self.count_chunk(" " + piece), 500_000)
         self.whole = Memo(self.count_chunk, 100_000)
