@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,15 @@ def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Whole texts and sets are large rows: unless the session says otherwise, 500 of them are a batch."""
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, "500")
+
+
 def annotate(
     df: DataFrame, inputs: list[str], kernel: Callable, fields: str, keep: list[str] | None = None
 ) -> DataFrame:
@@ -27,6 +36,7 @@ def annotate(
     ``kernel()`` is called once a task and returns a function of one Arrow array per input, which returns one
     Arrow array per field. A kept column with the name of a field is replaced.
     """
+    bound_batches(df.sparkSession)
     keep = df.columns if keep is None else keep
     source = df.select(
         F.struct(*map(name, keep)).alias("row"), *[name(c).alias(f"in{i}") for i, c in enumerate(inputs)]
