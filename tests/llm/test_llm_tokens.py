@@ -62,9 +62,9 @@ def test_forced_boundaries_are_never_inside_a_token(word):
             continue
         data = bytes(byte_of[c] for c in token.removesuffix("</w>"))
         if data:
-            assert codec.cut(data) == [data]
-    assert len(codec.cut("漢a字".encode())) > 1
-    assert sum(not x for row in codec.joined for x in row) > 30_000
+            assert codec.cuts(np.frombuffer(data, np.uint8))[1:].sum() == 0
+    assert codec.cuts(np.frombuffer("漢a字".encode(), np.uint8)).sum() > 1
+    assert (~codec.joined).sum() > 30_000
 
 
 @settings(max_examples=150, deadline=None)
@@ -220,8 +220,8 @@ def test_pack_hot_length_and_repeats(spark):
     df = spark.createDataFrame(rows, "doc_id long, piece int, length long, offset string")
     packed = packing.pack(df, ["doc_id", "piece"], 1024).collect()
     assert len(packed) == 900
-    total = sum(r[2] for r in rows)
-    assert check_packed(packed, 1024) <= -(-total // 1024) + 1
+    # three pieces of 300 fit into a sequence, and the small ones beside them
+    assert check_packed(packed, 1024) == 200
 
 
 def test_pack_refuses_lengths_outside(spark):
