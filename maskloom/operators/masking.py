@@ -13,7 +13,11 @@ MASKED, RANDOM = 0.8, 0.1
 
 
 def _special(windows: DataFrame, ids: str, special: str | None) -> Column:
-    """Which places hold no token of the text: by the mask that padding keeps up, or the first and last place."""
+    """Which places hold no token of the text: by the mask that padding keeps up, or the first and last place.
+
+    Without a name the column ``special_tokens_mask`` is taken if there is one.
+    """
+    special = special or ("special_tokens_mask" if "special_tokens_mask" in windows.columns else None)
     return F.col(special) if special else K.special_tokens_mask(F.col(ids))
 
 

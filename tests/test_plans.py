@@ -67,7 +67,9 @@ def test_groups_merge_before_the_shuffle(scan, make):
 def test_distinct_words_are_shuffled_once(scan, vocab):
     counts = V.word_counts(scan, T.bert_words(F.col("text")))
     encoded = encoding.encode_words(counts, vocab)
-    assert shuffles(encoded) == 1 and "BroadcastHashJoin" in plan(encoded)
+    assert shuffles(encoded) == 1 and "MapInArrow" in plan(encoded)
+    joined = encoding.encode_words_by_joins(counts, vocab)
+    assert shuffles(joined) == 1 and "BroadcastHashJoin" in plan(joined)
 
 
 def test_perplexity_is_shuffled_once(spark):

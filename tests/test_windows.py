@@ -76,7 +76,7 @@ def test_chunk_cap(spark, batch):
 
 
 def test_masks(spark):
-    df = W.pad_static(W.token_windows(frame_of(spark, [0, 1, 40, 2000, 3000])), 512)
+    df = W.pad_static(W.model_inputs(W.token_windows(frame_of(spark, [0, 1, 40, 2000, 3000]))), 512)
     keys = ["doc_id", "win"]
     plan = {(r["doc_id"], r["win"], r["pos"]): r for r in M.mask_plan(df, keys, 600).collect()}
     masked = {(r["doc_id"], r["win"]): r for r in M.mask_for_training(df, keys, 600).collect()}
