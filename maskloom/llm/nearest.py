@@ -6,12 +6,14 @@ of fixed size, and a query visits the cells that its window of positions touches
 and keeps its best. The best over all curves are the result. Equal vectors are searched once, with as many of their ids
 as a result can hold, so a vector that very many rows share costs no more than another.
 
-The measure is the inner product. A further component makes all vectors equally long before the projection, so that
-the largest product is the nearest point.
+The measure is the inner product. Vectors are dealt into bands of norms, each with norms within a factor of two, and
+each band has curves of its own. Within a band a further component makes all vectors equally long before the
+projection; queries have the same length and none of that component, so that the largest product is the nearest point.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or non-finite components,
 and rows with a null id take no part; ties go to the smaller id; rows that repeat an id are one candidate for each
-of their vectors; with fewer candidates than asked for, all are given; an empty table gives no rows.
+of their vectors; with fewer candidates than asked for, all are given; an empty table gives no rows; a product beyond
+the range of doubles is infinite, and such products tie.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from maskloom.session import materialise
 
 CURVES, DIMENSIONS, BITS = 16, 8, 7
 CELL = 4096
+OCTAVE = 8  # norms are counted in so many steps to a factor of two
+SPREAD = 4.0  # the grid covers so many standard deviations of a random direction's coordinates
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -90,7 +94,8 @@ def nearest(
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the ``k`` rows found nearest to each query row.
 
-    ``window`` is the number of neighbours on either side of each curve that are compared.
+    ``window`` is the number of neighbours on either side of each curve of each band that are compared; by default it
+    follows from the number of vectors in the band.
     """
     kind = df.schema[vector].dataType.elementType.simpleString()
     kind = kind if kind in ("float", "double") else "double"
@@ -118,12 +123,11 @@ def nearest(
         uid.alias("uid"), "vec", "ids", F.coalesce("asked", F.lit(False)).alias("asked")
     )
     vectors = materialise(vectors, "vectors")
-    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    n, longest = vectors.agg(F.count("*"), F.max(square)).first()
-    window = default_window(n) if window is None else window
+    bands = _bands(vectors)
+    windows = [default_window(n) if window is None else window for _, _, n in bands]
 
-    ordered = _ordered(vectors, dimension, curves, seed, math.sqrt(longest), n)
-    best = _visit(ordered, window, k + 1, dimension)
+    ordered = _ordered(vectors, dimension, curves, seed, bands)
+    best = _visit(ordered, windows, k + 1)
     # the same vector may be found on several curves
     found = best.groupBy("asker", "uid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     each = found.select("asker", "score", F.explode("ids").alias("vec_id"))
@@ -146,44 +150,142 @@ def nearest(
     )
 
 
-def _ordered(vectors: DataFrame, dimension: int, curves: int, seed: int, longest: float, n: int) -> DataFrame:
-    """Every vector with its position on every curve."""
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Base-two logarithms of the norms, also of those whose square is beyond the range of doubles."""
+    power = _powers(x)
+    return power + np.log2((np.ldexp(x, -power[:, None]) ** 2).sum(axis=1)) / 2
+
+
+def _powers(x: np.ndarray) -> np.ndarray:
+    """The power of two just above the largest component of each vector."""
+    return np.frexp(np.abs(x).max(axis=1, initial=0.0))[1]
+
+
+def _bands(vectors: DataFrame) -> list[tuple[float, float, int]]:
+    """Least and largest norm (as base-two logarithms) and number of vectors of each band, the longest vectors first.
+
+    A band begins at the largest norm below the one before, and takes in norms down to about half of it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = _lengths(_matrix(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["length"])
+
+    lengths = vectors.select("vec").mapInArrow(run, "length double")
+    steps = lengths.groupBy(F.floor(F.col("length") * OCTAVE).alias("step")).agg(
+        F.min("length").alias("low"), F.max("length").alias("high"), F.count("*").alias("n")
+    )
+    out: list[list] = []
+    first = None
+    # exponents of doubles bound the number of steps
+    for row in steps.orderBy(F.desc("step")).collect():
+        if first is None or row["step"] <= first - OCTAVE:
+            first = row["step"]
+            out.append([row["low"], row["high"], row["n"]])
+        else:
+            out[-1][0] = row["low"]
+            out[-1][2] += row["n"]
+    return [tuple(x) for x in out]
+
+
+def _ordered(
+    vectors: DataFrame, dimension: int, curves: int, seed: int, bands: list[tuple[float, float, int]]
+) -> DataFrame:
+    """Every vector with its position on every curve of its band, and every query with its position on all curves.
+
+    ``curve`` numbers the curves of all bands. Only vectors count for positions; a query stands before the next one.
+    """
+    kind = vectors.schema["vec"].dataType.simpleString()
+    names = ["curve", "key", "uid", "vec", "ids", "asks"]
+    schema = f"curve int, key long, uid string, vec {kind}, ids array<long>, asks boolean"
 
     def run(batches):
         turns, shifts = _turns(dimension + 1, curves, seed)
+        # a random direction's coordinates are about normal, so the grid need not cover the whole ball
+        reach = min(1.0, SPREAD / math.sqrt(dimension + 1))
+        highs = np.array([high for _, high, _ in bands])
+        lows = np.array([low for low, _, _ in bands])
+
+        def keys(points: np.ndarray, curve: int) -> pa.Array:
+            # the shift moves the grid by up to half of its width
+            at = (points @ turns[curve] / reach + 1) / 4 + shifts[curve] / 2
+            return pa.array(hilbert_keys(np.clip(at * 2**BITS, 0, 2**BITS - 1), BITS).view(np.int64))
+
+        def rows(band: int, curve: int, key: pa.Array, batch: pa.RecordBatch, asks: bool) -> pa.RecordBatch:
+            n = batch.num_rows
+            ids = pa.array([[]] * n, pa.list_(pa.int64())) if asks else batch.column("ids")
+            number = pa.array(np.full(n, band * curves + curve, np.int32))
+            flag = pa.array(np.full(n, asks))
+            return pa.RecordBatch.from_arrays([number, key, batch.column("uid"), batch.column("vec"), ids, flag], names)
+
         for batch in batches:
             x = _matrix(batch.column("vec"))
-            rest = np.sqrt(np.maximum(0.0, 1.0 - (x**2).sum(axis=1) / longest**2))
-            x = np.concatenate([x / longest, rest[:, None]], axis=1)
+            power, length = _powers(x), _lengths(x)
+            fraction = np.ldexp(x, -power[:, None])
+            # the last bit of a logarithm may differ from the one that was counted, so the nearest band counts
+            own = np.argmin(np.maximum(lows - length[:, None], length[:, None] - highs), axis=1)
+            short = np.minimum(1.0, np.exp2(length - highs[own]))
+            part = fraction * np.exp2(power - highs[own])[:, None]
+            lifted = np.concatenate([part, np.sqrt(1 - short**2)[:, None]], axis=1)
+            direction = fraction * np.exp2(power - length)[:, None]
+            asking = np.flatnonzero(batch.column("asked").to_numpy(zero_copy_only=False))
+            askers = batch.take(pa.array(asking))
+            level = np.concatenate([direction[asking], np.zeros((len(asking), 1))], axis=1)
             for curve in range(curves):
-                # coordinates lie within the unit ball; the shift moves the grid by up to half of its width
-                at = (x @ turns[curve] + 1) / 4 + shifts[curve] / 2
-                keys = hilbert_keys(np.clip(at * 2**BITS, 0, 2**BITS - 1), BITS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), curve, np.int32)), pa.array(keys.view(np.int64)), *batch.columns],
-                    names=["curve", "key", *batch.schema.names],
-                )
+                placed = keys(lifted, curve)
+                for band in np.unique(own).tolist():
+                    some = pa.array(np.flatnonzero(own == band))
+                    yield rows(band, curve, placed.take(some), batch.take(some), False)
+                if len(asking):
+                    placed = keys(level, curve)
+                    for band in range(len(bands)):
+                        yield rows(band, curve, placed, askers, True)
+
+    def number(batches):
+        """Partition, and how many vectors of the curve stand before within it."""
+        from pyspark import TaskContext
+
+        part, now, before = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            curve = batch.column("curve").to_numpy()
+            held = ~batch.column("asks").to_numpy(zero_copy_only=False)
+            at = np.empty(len(curve), np.int64)
+            edges = (np.flatnonzero(np.diff(curve)) + 1).tolist()
+            for a, b in zip([0, *edges], [*edges, len(curve)]):
+                if a == b:
+                    continue
+                if curve[a] != now:
+                    now, before = curve[a], 0
+                ends = np.cumsum(held[a:b])
+                at[a:b] = before + ends - held[a:b]
+                before += int(ends[-1])
+            columns = [batch.column(c) for c in ("curve", "uid", "vec", "ids", "asks")]
+            parts = pa.array(np.full(len(curve), part, np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*columns, parts, pa.array(at)], names=["curve", "uid", "vec", "ids", "asks", "_part", "_at"]
+            )
 
-    kind = vectors.schema["vec"].dataType.simpleString()
-    schema = f"curve int, key long, uid string, vec {kind}, ids array<long>, asked boolean"
     keyed = materialise(vectors.select("uid", "vec", "ids", "asked").mapInArrow(run, schema), "keyed")
     spark = vectors.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * curves / 500_000))
-    order = ["curve", "key", "uid"]
+    n = keyed.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 500_000))
+    # points in one step of the grid stand in another order on each curve
+    order = [F.col("curve"), F.col("key"), F.xxhash64("curve", "uid"), F.col("uid"), F.col("asks").desc()]
     sorted_ = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # partition and place within it, fixed by being written
-    sorted_ = materialise(sorted_.withColumn("_at", F.monotonically_increasing_id()), "ordered")
-    sorted_ = sorted_.withColumn("_part", F.shiftright("_at", 33))
-    counts = sorted_.groupBy("curve", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    numbered = f"curve int, uid string, vec {kind}, ids array<long>, asks boolean, _part int, _at long"
+    sorted_ = materialise(sorted_.mapInArrow(number, numbered), "ordered")
+    counts = sorted_.groupBy("curve", "_part").agg(F.count_if(~F.col("asks")).alias("_n"))
     earlier = Window.partitionBy("curve").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialise(
-        counts.select("curve", "_part", "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")),
-        "starts",
+        counts.select("curve", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), "starts"
     )
     return (
         sorted_.join(starts, ["curve", "_part"])
-        .withColumn("position", F.col("_before") + F.col("_at") - F.col("_from"))
-        .drop("_at", "_part", "_before", "_from", "key")
+        .withColumn("position", F.col("_before") + F.col("_at"))
+        .withColumn("band", F.floor(F.col("curve") / curves).cast("int"))
+        .drop("_at", "_part", "_before")
     )
 
 
@@ -193,20 +295,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
-def _visit(ordered: DataFrame, window: int, k: int, dimension: int) -> DataFrame:
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All inner products; infinite where they are beyond the range of doubles."""
+    a, b = _powers(x), _powers(y)
+    if not len(x) or not len(y) or int(a.max()) + int(b.max()) + x.shape[1].bit_length() < 1020:
+        return x @ y.T
+    product = np.ldexp(x, -a[:, None]) @ np.ldexp(y, -b[:, None]).T
+    with np.errstate(over="ignore"):
+        return np.ldexp(product, a[:, None] + b)
+
+
+def _visit(ordered: DataFrame, windows: list[int], k: int) -> DataFrame:
     """The best ``k`` vectors of each cell for each query whose window touches it."""
+    # the windows of at most some hundred bands, as one array
+    window = F.element_at(F.array(*map(F.lit, windows)), F.col("band") + 1)
     low = F.floor((F.col("position") - window) / CELL)
     high = F.floor((F.col("position") + window) / CELL)
-    fixed = ["curve", "uid", "vec", "ids", "position"]
-    held = ordered.select(*fixed, F.floor(F.col("position") / CELL).alias("cell"), F.lit(False).alias("asks"))
-    asks = ordered.where("asked").select(
-        "curve",
-        "uid",
-        "vec",
-        F.array().cast("array<long>").alias("ids"),
-        "position",
-        F.explode(F.sequence(F.greatest(low, F.lit(0)), high)).alias("cell"),
-        F.lit(True).alias("asks"),
+    fixed = ["curve", "band", "uid", "vec", "ids", "position"]
+    held = ordered.where(~F.col("asks")).select(
+        *fixed, F.floor(F.col("position") / CELL).alias("cell"), F.lit(False).alias("asks")
+    )
+    asks = ordered.where("asks").select(
+        *fixed, F.explode(F.sequence(F.greatest(low, F.lit(0)), high)).alias("cell"), F.lit(True).alias("asks")
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -214,20 +324,22 @@ def _visit(ordered: DataFrame, window: int, k: int, dimension: int) -> DataFrame
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         position = table.column("position").to_numpy()
         x = _matrix(table.column("vec").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.float64())))
+        window = windows[table.column("band")[0].as_py()] if table.num_rows else 0
         here, there = np.flatnonzero(~asks), np.flatnonzero(asks)
         taken, asker, score = [], [], []
         for start in range(0, len(there), 256):
             some = there[start : start + 256]
             if not len(here):
                 break
-            product = x[some] @ x[here].T
-            product[np.abs(position[some][:, None] - position[here]) > window] = -np.inf
+            product = _products(x[some], x[here])
+            near = np.abs(position[some][:, None] - position[here]) <= window
+            ranked = np.where(near, product, -np.inf)
             if k < len(here):
                 # everything that ties with the k-th stays
-                least = -np.partition(-product, k - 1, axis=1)[:, k - 1]
+                least = -np.partition(-ranked, k - 1, axis=1)[:, k - 1]
             else:
                 least = np.full(len(some), -np.inf)
-            row, col = np.nonzero((product >= least[:, None]) & np.isfinite(product))
+            row, col = np.nonzero((product >= least[:, None]) & near)
             asker.append(some[row])
             taken.append(here[col])
             score.append(product[row, col])

@@ -190,6 +190,34 @@ def test_neighbours_of_bounded_windows(spark):
     assert len(got) == 1000 and hits >= 900
 
 
+def neighbour_recall(spark, x, k=10, window=None):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    step = len(x) // 100
+    got = nearest.nearest(df, "id", "v", F.col("id") % step == 0, k, window=window).collect()
+    asked = range(0, len(x), step)
+    want = brute(list(enumerate(x)), k, asked)
+    assert len(got) == k * len(asked)
+    return sum(r["vec_id"] in {v for v, _ in want[r["query_id"]]} for r in got) / len(got)
+
+
+def test_neighbours_with_one_outlier(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 24))
+    x = centres[rng.integers(0, 60, 6000)] + 0.25 * rng.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[17] *= 1000
+    assert neighbour_recall(spark, x, window=300) >= 0.9
+    # its square is beyond the range of doubles
+    x[17] *= 1e170
+    assert neighbour_recall(spark, x, window=300) >= 0.9
+
+
+def test_neighbours_with_mixed_norms(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 24)) * np.exp(rng.normal(size=6000))[:, None]
+    assert neighbour_recall(spark, x, window=300) >= 0.9
+
+
 def test_neighbours_defined_cases(spark):
     one = [1.0, 0.0, 0.0]
     rows = [
