@@ -1,13 +1,14 @@
 """Token ids in binary files, with a minimal perfect hash index for access by key.
 
-Shards hold the ids of consecutive documents, in ascending order of the key: a header, then nothing but ids. Index
+Shards hold the ids of consecutive documents, in ascending order of the key and of a hash of the text: a header, then
+nothing but ids. A key that very many rows share runs over several shards. Index
 files hold, for the keys of one hash bucket, a minimal perfect hash function, and for each of its slots a fingerprint
 of the key, the shard, the place and the length. A lookup opens one index file, computes one slot, compares the
 fingerprint, and reads one run of ids. Files are written under a name of their own and then renamed, so a task that
 runs again or twice does no harm.
 
 Defined cases: null text is the empty text, which still has its end id; a null key sorts first and can be looked up
-as null; rows that repeat a key are told apart by ``copy`` (0, 1, .. in the order of their ids); a key that is not in
+as null; rows that repeat a key are told apart by ``copy`` (0, 1, .. in the order of their places); a key that is not in
 the index is not found, but for one in 2^32; an empty table gives no shards.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from maskloom.llm.common import annotate, mix, name, texts_of
 from maskloom.llm.library import encoder
-from maskloom.session import scratch_path
+from maskloom.session import materialise, scratch_path
 
 SHARD_MAGIC, INDEX_MAGIC = b"MLIDS001", b"MLMPH001"
 SHARD_HEADER = "<8sIIQ"  # magic, bytes an id, shard, number of ids
@@ -145,14 +146,75 @@ def index_file(path: str, bucket: int) -> str:
     return f"{path}/index/index-{bucket:06d}.mph"
 
 
-def _chosen(value: Column, cuts: list, first: int = 0) -> Column:
-    """Number of cuts at or below the value, as a balanced tree of comparisons."""
+ALL = (None, None)
+
+
+def _before(cut: tuple) -> Column:
+    """Whether a row stands before a cut: (key, None) is the first row of a key, (key, ALL) lies behind its last, and
+    (key, (digest, salt)) lies among its rows. The null key is first."""
+    key, place = cut
+    within = F.lit(False)
+    if place is ALL:
+        within = F.lit(True)
+    elif place is not None:
+        digest, salt = map(F.lit, place)
+        within = (F.col("digest") < digest) | ((F.col("digest") == digest) & (F.col("salt") < salt))
+    if key is None:
+        return F.col("key").isNull() & within
+    return F.col("key").isNull() | (F.col("key") < F.lit(key)) | ((F.col("key") == F.lit(key)) & within)
+
+
+def _chosen(cuts: list[tuple], first: int = 0) -> Column:
+    """Number of cuts at or before the row, as a balanced tree of comparisons."""
     if not cuts:
         return F.lit(first)
     middle = len(cuts) // 2
-    return F.when(value < F.lit(cuts[middle]), _chosen(value, cuts[:middle], first)).otherwise(
-        _chosen(value, cuts[middle + 1 :], first + middle + 1)
+    return F.when(_before(cuts[middle]), _chosen(cuts[:middle], first)).otherwise(
+        _chosen(cuts[middle + 1 :], first + middle + 1)
+    )
+
+
+def _shared_keys(rows: DataFrame, rows_per_shard: int) -> list[int | None]:
+    """The keys with more rows than a shard; fewer than there are shards."""
+    counted = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > rows_per_shard)
+    return [r["key"] for r in counted.select("key").collect()]
+
+
+def _of_keys(rows: DataFrame, keys: list[int | None]) -> DataFrame:
+    known = [k for k in keys if k is not None]
+    return rows.where((F.col("key").isNull() & F.lit(None in keys)) | F.coalesce(F.col("key").isin(known), F.lit(False)))
+
+
+def _cuts_within(rows: DataFrame, keys: list[int | None], rows_per_shard: int) -> list[tuple]:
+    """Cuts around each of the keys, and after every ``rows_per_shard`` of its rows.
+
+    Equal rows have salts of their own, which need not be the same when the rows are read again: it only matters that
+    they spread, because equal rows have equal ids.
+    """
+    order = ["key", "digest", "salt"]
+    some = _of_keys(rows, keys).select("key", "digest").withColumn("salt", F.rand(7))
+    sorted_ = some.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = materialise(sorted_.withColumn("_at", F.monotonically_increasing_id()), "shared-keys")
+    sorted_ = sorted_.withColumn("_part", F.shiftright("_at", 33))
+    counts = sorted_.groupBy("key", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    earlier = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        F.col("key").alias("_key"),
+        F.col("_part").alias("_in"),
+        "_from",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
     )
+    # a row for each key and partition it reaches into
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_in"))
+    at = F.col("_before") + F.col("_at") - F.col("_from")
+    placed = sorted_.join(F.broadcast(starts), same).where((at > 0) & (at % rows_per_shard == 0))
+    inner = [(r["key"], (r["digest"], r["salt"])) for r in placed.select(*order).collect()]
+    return [*((k, None) for k in keys if k is not None), *inner, *((k, ALL) for k in keys)]
+
+
+def _cut_order(cut: tuple) -> tuple:
+    key, place = cut
+    return key is not None, key or 0, 0 if place is None else 2 if place is ALL else 1, place or ()
 
 
 def _bucket(buckets: int) -> Column:
@@ -280,11 +342,20 @@ def write_store(
     path = path or scratch_path(spark, "token-store")
     rows = df.count()
     n_shards = max(1, math.ceil(rows / rows_per_shard))
-    cuts: list[int] = []
+    # null text is the empty text
+    narrow = df.select(name(key).cast("long").alias("key"), name(text).alias("text"))
+    narrow = narrow.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    cuts: list[tuple] = []
+    shared: list[int | None] = []
     if n_shards > 1:
         shares = F.array(*[F.lit(i / n_shards) for i in range(1, n_shards)])
-        cuts = df.agg(F.percentile_approx(name(key).cast("long"), shares, F.lit(20 * n_shards))).first()[0] or []
-    shard = F.when(name(key).isNull(), F.lit(0)).otherwise(_chosen(name(key), sorted(set(cuts))))
+        at = narrow.agg(F.percentile_approx("key", shares, F.lit(20 * n_shards))).first()[0] or []
+        cuts = [(k, None) for k in at]
+        shared = _shared_keys(narrow, rows_per_shard)
+    if shared:
+        narrow = narrow.withColumn("salt", F.rand(7))
+        cuts += _cuts_within(narrow, shared, rows_per_shard)
+    narrow = narrow.withColumn("shard", _chosen(sorted(set(cuts), key=_cut_order)))
 
     def kernel():
         encode, end = encoder(vocabulary, False), np.asarray([end_id], "<u4")
@@ -300,7 +371,8 @@ def write_store(
     width = 2 if _largest_id(vocabulary, end_id) < 2**16 else 4
 
     def write(batches):
-        """Rows arrive by shard and key. A shard's ids are held until it is complete; it has a bounded size."""
+        """Rows arrive by shard and key. A shard's ids are held until it is complete; its number of rows is bounded.
+        Copies are counted within the shard."""
         attempt = _attempt()
         shard, held, total, last, copy = None, [], 0, None, 0
 
@@ -328,16 +400,33 @@ def write_store(
             finish()
 
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    narrow = df.select(name(key).cast("long").alias("key"), shard.alias("shard"), name(text).alias("text"))
-    encoded = annotate(narrow, ["text"], kernel, "payload binary", ["key", "shard"])
+    encoded = annotate(narrow, ["text"], kernel, "payload binary", ["key", "digest", "shard"])
     dealt = encoded.repartition(_tasks(spark, n_shards), "shard")
-    dealt = dealt.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "payload")
-    dealt.mapInArrow(write, "key long, copy long, shard int, start long, length long").write.parquet(f"{path}/entries")
+    dealt = dealt.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "digest", "payload")
+    fields = "key long, copy long, shard int, start long, length long"
+    written = dealt.select("shard", "key", "payload").mapInArrow(write, fields)
+    if shared:
+        written.write.parquet(f"{path}/entries-by-shard")
+        written = _copies_over_shards(spark.read.schema(fields).parquet(f"{path}/entries-by-shard"), shared)
+    written.write.parquet(f"{path}/entries")
     store = TokenStore(spark, path, max(1, math.ceil(rows / rows_per_shard)))
     _write_index(store)
     return store
 
 
+def _copies_over_shards(entries: DataFrame, shared: list[int | None]) -> DataFrame:
+    """Number the copies of the keys that run over several shards on from shard to shard."""
+    counts = _of_keys(entries, shared).groupBy("key", "shard").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(
+        F.col("key").alias("_key"), F.col("shard").alias("_in"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_b")
+    )
+    # fewer rows than twice the number of shards
+    same = (F.col("shard") == F.col("_in")) & F.col("key").eqNullSafe(F.col("_key"))
+    copy = (F.col("copy") + F.coalesce("_b", F.lit(0))).alias("copy")
+    return entries.join(F.broadcast(before), same, "left").select("key", copy, "shard", "start", "length")
+
+
 def _largest_id(vocabulary: str, end_id: int) -> int:
     import json
 

@@ -301,6 +301,28 @@ def test_store_with_nulls_repeats_and_unknown_keys(spark, word):
     assert store.read(missing).count() == 0
 
 
+def test_store_cuts_keys_that_many_rows_share(spark, word):
+    rows = [(None, f"n {i % 70}") for i in range(90)] + [(7, "same text")] * 80 + [(7, f"k {i}") for i in range(40)]
+    rows += [(i, f"w {i}") for i in range(-40, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    store = token_store.write_store(df, "doc_id", "text", read_vocabulary(WORD), 1, rows_per_shard=16)
+    sizes = [r["n"] for r in store.entries().groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 40
+    got = store.read(store.keys(df, "doc_id")).join(store.shards(), "shard").collect()
+    assert len(got) == len(rows)
+    want, found = {}, {}
+    for key, text in rows:
+        want.setdefault(key, []).append(np.asarray([*ids_of(word, text), 1], "<u4").tobytes())
+    got.sort(key=lambda r: r["first"] + r["start"])
+    for r in got:
+        found.setdefault(r["key"], []).append((r["copy"], bytes(r["ids"])))
+    assert list(found) == [None, *range(-40, 40)]
+    for key, texts in want.items():
+        assert [c for c, _ in found[key]] == list(range(len(texts)))
+        assert sorted(x for _, x in found[key]) == sorted(texts)
+    assert [r["first"] + r["start"] for r in got] == np.cumsum([0, *(r["length"] for r in got[:-1])]).tolist()
+
+
 def test_store_query(spark, word):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
     rows = {r["doc_id"]: r for r in REGISTRY["op10_token_store"](spark, SMALL).collect()}
