@@ -6,7 +6,7 @@ beginning, up to the whole word, so an unseen word is scored by the longest begi
 finds every maximal segment of a document, the runs of words whose score cannot be raised by making them longer or
 shorter. Scores of chance segments follow an extreme-value distribution, whose scale is solved from the scores in
 clean texts and whose place from their best segments; it turns the segments of a document of any length into evidence,
-and a logistic curve fitted on documents kept apart turns the evidence into a score.
+to which segments of the same words add once, and a logistic curve fitted on documents kept apart turns the evidence into a score.
 
 Defined cases: null and empty texts, and texts without a letter, have no segments and the score of no evidence; with
 no labels, or labels of one kind, no text has evidence; repeated rows stay; columns of the input that have the name
@@ -61,15 +61,9 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * evidence + self.intercept))))
 
 
-def word_scores(words: list[str], memo: Memo, drift: float) -> np.ndarray:
-    """Scores in order. A word tells something new three times in a text; after that it counts as a neutral word."""
-    scores = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
-    seen: dict[str, int] = {}
-    for i in np.flatnonzero(scores > 0).tolist():
-        seen[words[i]] = n = seen.get(words[i], 0) + 1
-        if n > 3:
-            scores[i] = -drift
-    return scores
+def word_scores(words: list[str], memo: Memo) -> np.ndarray:
+    """Scores in order, of every occurrence alike."""
+    return np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -106,6 +100,16 @@ def normalised(found: list[tuple[int, int, float]], n: int, scale: float, log_k:
     return [scale * s - log_k - math.log(max(n, 2)) for _, _, s in found]
 
 
+def told_once(words: list[str], found: list[tuple[int, int, float]], values: list[float]) -> list[float]:
+    """The values above zero; segments of the same words tell something new once in a text."""
+    new: dict[tuple, float] = {}
+    for (a, b, _), value in zip(found, values):
+        if value > 0:
+            passage = tuple(words[a:b])
+            new[passage] = max(value, new.get(passage, 0.0))
+    return list(new.values())
+
+
 def evidence(values: list[float]) -> float:
     """Minus the logarithm of the chance of the best r segments together, for the most telling r."""
     best, total = 0.0, 0.0
@@ -187,7 +191,7 @@ def _scored(df: DataFrame, inputs: list[str], model: Model, keep: list[str]) ->
             n, found = [], []
             for text in texts_of(array):
                 words = WORD.findall(text.lower())
-                scores = word_scores(words, memo, model.drift)
+                scores = word_scores(words, memo)
                 n.append(len(words))
                 found.append([{"start": a, "end": b, "score": s} for a, b, s in segments(scores)])
             kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
@@ -307,10 +311,9 @@ def score(df: DataFrame, text: str, model: Model, keep: list[str] | None = None)
 
         def one(t: str):
             words = WORD.findall(t.lower())
-            scores = word_scores(words, memo, model.drift)
-            found = segments(scores)
+            found = segments(word_scores(words, memo))
             values = normalised(found, len(words), model.scale, model.log_k)
-            told = evidence(values)
+            told = evidence(told_once(words, found, values))
             kept = [{"start": a, "end": b, "score": v} for (a, b, _), v in zip(found, values) if v > 0]
             return kept, told, model.probability(min(told, 200.0))
 

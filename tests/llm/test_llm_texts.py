@@ -277,6 +277,24 @@ def test_toxicity_defined_cases(spark, odd):
         assert all(r["score"] < 0.5 for r in toxicity.score(docs, "text", none).collect())
 
 
+def test_toxicity_finds_late_and_repeated_passages(spark):
+    rows = [(i, "you are a vile gronk today my friend", 1) for i in range(20)]
+    rows += [(100 + i, "you are a good helper today my friend", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs, docs, "doc_id", "text", "toxic")
+    calm, passage = ["good", "helper"] * 5_000, ["vile", "gronk"] * 8
+    late = ([*calm, "vile", *calm, "gronk"] * 3) + calm + passage
+    often = [*passage, *calm] * 6
+    texts = spark.createDataFrame([(" ".join(late),), (" ".join(often),), (" ".join(passage + calm),)], "text string")
+    got = toxicity.score(texts, "text", model).collect()
+    ends = [(s["start"], s["end"]) for s in got[0]["segments"]]
+    assert (len(late) - len(passage), len(late)) in ends and got[0]["score"] > 0.5
+    places = [i * (len(passage) + len(calm)) for i in range(6)]
+    assert [(s["start"], s["end"]) for s in got[1]["segments"]] == [(i, i + len(passage)) for i in places]
+    # repeats are found, and tell nothing new: only the length of the text differs
+    assert 0 < got[1]["evidence"] <= got[2]["evidence"]
+
+
 def test_toxicity_query_on_held_out(spark):
     known = labelled(spark, MIDDLE)
     rows = [r for r in REGISTRY["op7_toxicity"](spark, MIDDLE).collect() if r["doc_id"] in known]
