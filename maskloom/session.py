@@ -54,7 +54,14 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError(f"{base} is on one machine's disk; if all machines mount it, set maskloom.checkpoint.shared")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
-    return base.rstrip("/")
+    return qualified(spark, base).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the address of its file system, so that workers outside the JVM open the same place."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(place).toString()
 
 
 def _on_own_disk(spark: SparkSession, path: str) -> bool:
