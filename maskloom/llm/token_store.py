@@ -1,12 +1,16 @@
 """Token ids in binary files, with a minimal perfect hash index for access by key.
 
-Shards hold the ids of consecutive documents, in ascending order of the key and of a hash of the text: a header, then
-nothing but ids. A key that very many rows share runs over several shards. Index
+Rows are sorted by range of (key, hash of the text), so a key that very many rows share runs over several tasks. A task
+encodes its rows as they come and closes a shard after so many rows or bytes. Shards hold the ids of consecutive
+documents: a header, then nothing but ids; their numbers ascend with the keys, with gaps between tasks. Index
 files hold, for the keys of one hash bucket, a minimal perfect hash function, and for each of its slots a fingerprint
 of the key, the shard, the place and the length. A lookup opens one index file, computes one slot, compares the
 fingerprint, and reads one run of ids. Files are written under a name of their own and then renamed, so a task that
 runs again or twice does no harm.
 
+Keys of other types than whole numbers are known to the index by a hash of 64 bits; two keys with the same hash are
+found when the index is built, which then fails.
+
 Defined cases: null text is the empty text, which still has its end id; a null key sorts first and can be looked up
 as null; rows that repeat a key are told apart by ``copy`` (0, 1, .. in the order of their places); a key that is not in
 the index is not found, but for one in 2^32; an empty table gives no shards.
@@ -22,17 +26,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from maskloom.llm.common import annotate, mix, name, texts_of
+from maskloom.llm.common import bound_batches, mix, name, texts_of
 from maskloom.llm.library import encoder
-from maskloom.session import materialise, scratch_path
+from maskloom.session import qualified, scratch_path
 
-SHARD_MAGIC, INDEX_MAGIC = b"MLIDS001", b"MLMPH001"
-SHARD_HEADER = "<8sIIQ"  # magic, bytes an id, shard, number of ids
+SHARD_MAGIC, INDEX_MAGIC = b"MLIDS002", b"MLMPH002"
+SHARD_HEADER = "<8sIQQ"  # magic, bytes an id, shard, number of ids
 INDEX_HEADER = "<8sIIQQ"  # magic, bucket, levels, keys placed by levels, keys listed
-ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("start", "<u8"), ("length", "<u8")])
+ENTRY = np.dtype([("print", "<u4"), ("start", "<u4"), ("shard", "<u8"), ("length", "<u8")])
 LISTED = np.dtype([("key", "<i8"), ("copy", "<i8")])
 GAMMA, LEVELS = 2, 32
+SHARD_BYTES = 2**26  # so that a place in a shard is a number of 32 bits
+TASK_BITS = 32  # a shard's number: that of its task, then that within the task
 
 
 # The hash function
@@ -129,7 +137,13 @@ def _save(path: str, chunks: Iterator[bytes], attempt: str) -> None:
     with system.open_output_stream(f"{place}.{attempt}") as out:
         for chunk in chunks:
             out.write(chunk)
-    system.move(f"{place}.{attempt}", place)
+    try:
+        system.move(f"{place}.{attempt}", place)
+    except OSError:
+        # some systems do not replace files: then an earlier attempt of the same task has done it
+        if system.get_file_info(place).type.name != "File":
+            raise
+        system.delete_file(f"{place}.{attempt}")
 
 
 def _attempt() -> str:
@@ -139,99 +153,31 @@ def _attempt() -> str:
 
 
 def shard_file(path: str, shard: int) -> str:
-    return f"{path}/shards/shard-{shard:06d}.ids"
+    return f"{path}/shards/shard-{shard:015d}.ids"
 
 
 def index_file(path: str, bucket: int) -> str:
     return f"{path}/index/index-{bucket:06d}.mph"
 
 
-ALL = (None, None)
-
-
-def _before(cut: tuple) -> Column:
-    """Whether a row stands before a cut: (key, None) is the first row of a key, (key, ALL) lies behind its last, and
-    (key, (digest, salt)) lies among its rows. The null key is first."""
-    key, place = cut
-    within = F.lit(False)
-    if place is ALL:
-        within = F.lit(True)
-    elif place is not None:
-        digest, salt = map(F.lit, place)
-        within = (F.col("digest") < digest) | ((F.col("digest") == digest) & (F.col("salt") < salt))
-    if key is None:
-        return F.col("key").isNull() & within
-    return F.col("key").isNull() | (F.col("key") < F.lit(key)) | ((F.col("key") == F.lit(key)) & within)
-
-
-def _chosen(cuts: list[tuple], first: int = 0) -> Column:
-    """Number of cuts at or before the row, as a balanced tree of comparisons."""
-    if not cuts:
-        return F.lit(first)
-    middle = len(cuts) // 2
-    return F.when(_before(cuts[middle]), _chosen(cuts[:middle], first)).otherwise(
-        _chosen(cuts[middle + 1 :], first + middle + 1)
-    )
-
-
-def _shared_keys(rows: DataFrame, rows_per_shard: int) -> list[int | None]:
-    """The keys with more rows than a shard; fewer than there are shards."""
-    counted = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > rows_per_shard)
-    return [r["key"] for r in counted.select("key").collect()]
-
-
-def _of_keys(rows: DataFrame, keys: list[int | None]) -> DataFrame:
-    known = [k for k in keys if k is not None]
-    return rows.where((F.col("key").isNull() & F.lit(None in keys)) | F.coalesce(F.col("key").isin(known), F.lit(False)))
-
-
-def _cuts_within(rows: DataFrame, keys: list[int | None], rows_per_shard: int) -> list[tuple]:
-    """Cuts around each of the keys, and after every ``rows_per_shard`` of its rows.
-
-    Equal rows have salts of their own, which need not be the same when the rows are read again: it only matters that
-    they spread, because equal rows have equal ids.
-    """
-    order = ["key", "digest", "salt"]
-    some = _of_keys(rows, keys).select("key", "digest").withColumn("salt", F.rand(7))
-    sorted_ = some.repartitionByRange(*order).sortWithinPartitions(*order)
-    sorted_ = materialise(sorted_.withColumn("_at", F.monotonically_increasing_id()), "shared-keys")
-    sorted_ = sorted_.withColumn("_part", F.shiftright("_at", 33))
-    counts = sorted_.groupBy("key", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
-    earlier = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col("key").alias("_key"),
-        F.col("_part").alias("_in"),
-        "_from",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-    )
-    # a row for each key and partition it reaches into
-    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_in"))
-    at = F.col("_before") + F.col("_at") - F.col("_from")
-    placed = sorted_.join(F.broadcast(starts), same).where((at > 0) & (at % rows_per_shard == 0))
-    inner = [(r["key"], (r["digest"], r["salt"])) for r in placed.select(*order).collect()]
-    return [*((k, None) for k in keys if k is not None), *inner, *((k, ALL) for k in keys)]
-
-
-def _cut_order(cut: tuple) -> tuple:
-    key, place = cut
-    return key is not None, key or 0, 0 if place is None else 2 if place is ALL else 1, place or ()
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("id", "copy"), F.lit(buckets)).cast("int")
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("key", "copy"), F.lit(buckets)).cast("int")
+def _id(key: Column, kind: T.DataType) -> Column:
+    """What the index knows a key by: the number itself, or a hash of 64 bits of a key of another type."""
+    return key.cast("long") if isinstance(kind, T.IntegralType) else F.when(key.isNotNull(), F.xxhash64(key))
 
 
 class TokenStore:
     """A folder of shards and index files, and the table of shards."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int, kind: T.DataType):
+        self.spark, self.path, self.buckets, self.kind = spark, path, buckets, kind
 
     def entries(self) -> DataFrame:
         """What was written: key, copy, shard, start, length."""
-        return self.spark.read.schema("key long, copy long, shard int, start long, length long").parquet(
-            f"{self.path}/entries"
-        )
+        return self.spark.read.schema(_entry_schema(self.kind)).parquet(f"{self.path}/entries")
 
     def shards(self) -> DataFrame:
         """The place of each shard among all ids: shard, first, total. One row a shard."""
@@ -241,49 +187,48 @@ class TokenStore:
 
     def keys(self, df: DataFrame, key: str) -> DataFrame:
         """The keys of a table, one for each row: rows that repeat a key ask for its copies in turn."""
-        counted = df.groupBy(name(key).cast("long").alias("key")).agg(F.count("*").alias("n"))
+        counted = df.groupBy(name(key).cast(self.kind).alias("key")).agg(F.count("*").alias("n"))
         return counted.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """For keys (``key``, ``copy``): shard, start and length as the index has them. Keys not found are left out."""
         path, buckets = self.path, self.buckets
+        columns = ["key", "copy", "shard", "start", "length"]
 
         def run(batches):
             opened: dict[int, tuple] = {}
             for batch in batches:
-                table = batch.to_pandas()
-                for bucket, rows in table.groupby("bucket"):
+                numbers = batch.column("bucket").to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+                for a, b in zip(edges, edges[1:]):
+                    if a == b:
+                        continue
+                    bucket, rows = int(numbers[a]), batch.slice(a, b - a)
                     if bucket not in opened:
                         opened.clear()  # keys come bucket by bucket
                         system, place = _files(index_file(path, bucket))
                         with system.open_input_file(place) as file:
                             opened[bucket] = PerfectHash.load(file.read())
                     function, entries = opened[bucket]
-                    key = rows["key"].fillna(0).to_numpy(np.int64)
-                    copy = rows["inner"].to_numpy(np.int64)
+                    key, copy = rows.column("id").to_numpy(), rows.column("inner").to_numpy()
                     slots = function.slots(key, copy)
                     found = slots >= 0
                     found[found] = entries["print"][slots[found]] == fingerprints(key[found], copy[found])
-                    got, rows = entries[slots[found]], rows[found]
+                    got, kept = entries[slots[found]], pa.array(found)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([None if n else k for n, k in zip(rows["inner"] < 0, key[found])], pa.int64()),
-                            pa.array(rows["copy"].to_numpy(), pa.int64()),
-                            pa.array(got["shard"].astype(np.int32)),
-                            pa.array(got["start"].astype(np.int64)),
-                            pa.array(got["length"].astype(np.int64)),
-                        ],
-                        names=["key", "copy", "shard", "start", "length"],
+                        [rows.column("key").filter(kept), rows.column("copy").filter(kept)]
+                        + [pa.array(got[c].astype(np.int64)) for c in columns[2:]],
+                        names=columns,
                     )
 
         wanted = keys.select(
-            F.coalesce("key", F.lit(0)).cast("long").alias("key"),
+            name("key").cast(self.kind).alias("key"),
             F.col("copy").cast("long").alias("copy"),
-            F.when(F.col("key").isNull(), -1 - F.col("copy")).otherwise(F.col("copy")).cast("long").alias("inner"),
-            _bucket(buckets).alias("bucket"),
-        )
+            _id(F.col("key"), self.kind).alias("id"),
+        ).withColumn("bucket", _bucket(buckets))
+        wanted = wanted.select("key", "copy", *_inner(), "bucket")
         dealt = wanted.repartition(_tasks(self.spark, buckets), "bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(run, "key long, copy long, shard int, start long, length long")
+        return dealt.mapInArrow(run, _entry_schema(self.kind))
 
     def read(self, keys: DataFrame) -> DataFrame:
         """The ids of each key (``key``, ``copy``), as little-endian unsigned 32-bit, with their place."""
@@ -318,7 +263,20 @@ class TokenStore:
         names = ["key", "copy", "shard", "start", "length", "ids"]
         found = self.lookup(keys)
         dealt = found.repartition(_tasks(self.spark, self.buckets), "shard").sortWithinPartitions("shard", "start")
-        return dealt.mapInArrow(run, "key long, copy long, shard int, start long, length long, ids binary")
+        return dealt.mapInArrow(run, _entry_schema(self.kind).add("ids", T.BinaryType()))
+
+
+def _entry_schema(kind: T.DataType) -> T.StructType:
+    rest = [T.StructField(c, T.LongType()) for c in ("copy", "shard", "start", "length")]
+    return T.StructType([T.StructField("key", kind), *rest])
+
+
+def _inner() -> list[Column]:
+    """The numbers that the hash function takes: ``id`` and ``inner``; the null key is 0 with copies below 0."""
+    return [
+        F.coalesce("id", F.lit(0)).alias("id"),
+        F.when(F.col("key").isNull(), -1 - F.col("copy")).otherwise(F.col("copy")).alias("inner"),
+    ]
 
 
 def _tasks(spark: SparkSession, parts: int) -> int:
@@ -334,47 +292,33 @@ def write_store(
     path: str | None = None,
     rows_per_shard: int = 4096,
 ) -> TokenStore:
-    """Encode the texts, each followed by ``end_id``, and write shards and index. ``key`` is an integer column.
+    """Encode the texts, each followed by ``end_id``, and write shards and index.
 
     ``path`` must be a folder that all executors share; without it a fresh one in ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
-    path = path or scratch_path(spark, "token-store")
-    rows = df.count()
-    n_shards = max(1, math.ceil(rows / rows_per_shard))
-    # null text is the empty text
-    narrow = df.select(name(key).cast("long").alias("key"), name(text).alias("text"))
-    narrow = narrow.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    cuts: list[tuple] = []
-    shared: list[int | None] = []
-    if n_shards > 1:
-        shares = F.array(*[F.lit(i / n_shards) for i in range(1, n_shards)])
-        at = narrow.agg(F.percentile_approx("key", shares, F.lit(20 * n_shards))).first()[0] or []
-        cuts = [(k, None) for k in at]
-        shared = _shared_keys(narrow, rows_per_shard)
-    if shared:
-        narrow = narrow.withColumn("salt", F.rand(7))
-        cuts += _cuts_within(narrow, shared, rows_per_shard)
-    narrow = narrow.withColumn("shard", _chosen(sorted(set(cuts), key=_cut_order)))
-
-    def kernel():
-        encode, end = encoder(vocabulary, False), np.asarray([end_id], "<u4")
-
-        def work(array):
-            out = []
-            for ids in encode(texts_of(array)):
-                out.append(np.append(np.frombuffer(ids, "<u4"), end).astype(f"<u{width}").tobytes())
-            return [pa.array(out, pa.binary())]
-
-        return work
-
+    bound_batches(spark)
+    path = qualified(spark, path) if path else scratch_path(spark, "token-store")
+    buckets = max(1, math.ceil(df.count() / rows_per_shard))
+    kind = df.schema[key].dataType
+    kind = T.LongType() if isinstance(kind, T.IntegralType) else kind
+    # null text is the empty text; equal rows have equal ids and may go anywhere among each other
+    narrow = df.select(name(key).cast(kind).alias("key"), F.coalesce(name(text), F.lit("")).alias("text"))
+    narrow = narrow.withColumn("digest", F.xxhash64("text")).withColumn("salt", F.rand(7))
+    order = [F.col("key").asc_nulls_first(), F.col("digest"), F.col("salt")]
+    dealt = narrow.repartitionByRange(_tasks(spark, buckets), *order).sortWithinPartitions(*order)
     width = 2 if _largest_id(vocabulary, end_id) < 2**16 else 4
+    schema = _entry_schema(kind)
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def write(batches):
-        """Rows arrive by shard and key. A shard's ids are held until it is complete; its number of rows is bounded.
-        Copies are counted within the shard."""
-        attempt = _attempt()
-        shard, held, total, last, copy = None, [], 0, None, 0
+        """Rows arrive by key. A shard's ids are held until it is complete; it is bounded in rows and bytes, save for
+        the one row that passes the bound. Copies of a key are counted within the task."""
+        from pyspark import TaskContext
+
+        attempt, shard = _attempt(), TaskContext.get().partitionId() << TASK_BITS
+        encode, end = encoder(vocabulary, False), np.asarray([end_id], f"<u{width}").tobytes()
+        held, n_rows, total, last, copy = [], 0, 0, (), 0
 
         def finish():
             head = struct.pack(SHARD_HEADER, SHARD_MAGIC, width, shard, total)
@@ -382,49 +326,52 @@ def write_store(
 
         for batch in batches:
             rows = []
-            for number, k, payload in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "payload"))):
-                if number != shard:
-                    if shard is not None:
-                        finish()
-                    shard, held, total, last, copy = number, [], 0, (), 0
+            keys = batch.column(0).to_pylist()
+            for k, ids in zip(keys, encode(texts_of(batch.column(1)))):
+                if n_rows and (n_rows >= rows_per_shard or total * width > SHARD_BYTES):
+                    finish()
+                    shard, held, n_rows, total = shard + 1, [], 0, 0
                 copy = copy + 1 if k == last else 0
-                n = len(payload) // width
+                ids = ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+                n = len(ids) // width + 1
                 rows.append((k, copy, shard, total, n))
-                held.append(payload)
-                total, last = total + n, k
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds],
-                names=["key", "copy", "shard", "start", "length"],
-            )
-        if shard is not None:
+                held += [ids, end]
+                n_rows, total, last = n_rows + 1, total + n, k
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=schema.fieldNames()
+                )
+        if n_rows:
             finish()
 
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    encoded = annotate(narrow, ["text"], kernel, "payload binary", ["key", "digest", "shard"])
-    dealt = encoded.repartition(_tasks(spark, n_shards), "shard")
-    dealt = dealt.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "digest", "payload")
-    fields = "key long, copy long, shard int, start long, length long"
-    written = dealt.select("shard", "key", "payload").mapInArrow(write, fields)
-    if shared:
-        written.write.parquet(f"{path}/entries-by-shard")
-        written = _copies_over_shards(spark.read.schema(fields).parquet(f"{path}/entries-by-shard"), shared)
-    written.write.parquet(f"{path}/entries")
-    store = TokenStore(spark, path, max(1, math.ceil(rows / rows_per_shard)))
+    written = dealt.select("key", "text").mapInArrow(write, schema)
+    written.write.parquet(f"{path}/entries-by-task")
+    _number_copies(spark.read.schema(schema).parquet(f"{path}/entries-by-task")).write.parquet(f"{path}/entries")
+    store = TokenStore(spark, path, buckets, kind)
     _write_index(store)
     return store
 
 
-def _copies_over_shards(entries: DataFrame, shared: list[int | None]) -> DataFrame:
-    """Number the copies of the keys that run over several shards on from shard to shard."""
-    counts = _of_keys(entries, shared).groupBy("key", "shard").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(
-        F.col("key").alias("_key"), F.col("shard").alias("_in"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_b")
+def _number_copies(entries: DataFrame) -> DataFrame:
+    """Number the copies of keys that run over several tasks on from task to task."""
+    task = F.shiftright("shard", TASK_BITS)
+    place = F.struct("shard", "start")
+    ends = entries.groupBy(task.alias("task")).agg(
+        F.array(F.struct(F.min_by("key", place).alias("key")), F.struct(F.max_by("key", place).alias("key"))).alias("e")
     )
-    # fewer rows than twice the number of shards
-    same = (F.col("shard") == F.col("_in")) & F.col("key").eqNullSafe(F.col("_key"))
-    copy = (F.col("copy") + F.coalesce("_b", F.lit(0))).alias("copy")
-    return entries.join(F.broadcast(before), same, "left").select("key", copy, "shard", "start", "length")
+    ends = ends.select("task", F.explode(F.array_distinct("e")).alias("e")).select("task", "e.key")
+    # at most two keys a task, so these tables are as small as the number of tasks
+    over = ends.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    if over.isEmpty():
+        return entries
+    here = entries.withColumn("task", task)
+    same = F.col("key").eqNullSafe(F.col("_key"))
+    counts = here.join(F.broadcast(over), same).groupBy("_key", F.col("task").alias("_task")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_key", "_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    copy = (F.col("copy") + F.coalesce("_before", F.lit(0))).alias("copy")
+    joined = here.join(F.broadcast(before), same & (F.col("task") == F.col("_task")), "left")
+    return joined.select("key", copy, "shard", "start", "length")
 
 
 def _largest_id(vocabulary: str, end_id: int) -> int:
@@ -442,8 +389,10 @@ def _write_index(store: TokenStore) -> None:
         bucket, held = None, []
 
         def finish():
-            table = pa.Table.from_batches(held).to_pandas()
-            key, copy = table["key"].to_numpy(np.int64), table["inner"].to_numpy(np.int64)
+            table = pa.Table.from_batches(held)
+            key, copy = table["id"].to_numpy(), table["inner"].to_numpy()
+            if len(np.unique(np.stack([key, copy]), axis=1).T) < len(key):
+                raise ValueError("two keys have the same hash")
             function = PerfectHash.build(key, copy)
             entries = np.zeros(len(key), ENTRY)
             at = function.slots(key, copy)
@@ -467,13 +416,7 @@ def _write_index(store: TokenStore) -> None:
         if held:
             yield finish()
 
-    keyed = store.entries().select(
-        F.coalesce("key", F.lit(0)).alias("key"),
-        F.when(F.col("key").isNull(), -1 - F.col("copy")).otherwise(F.col("copy")).alias("inner"),
-        "shard",
-        "start",
-        "length",
-        _bucket(store.buckets).alias("bucket"),
-    )
+    keyed = store.entries().withColumn("id", _id(F.col("key"), store.kind)).withColumn("bucket", _bucket(store.buckets))
+    keyed = keyed.select(*_inner(), "shard", "start", "length", "bucket")
     dealt = keyed.repartition(_tasks(store.spark, store.buckets), "bucket").sortWithinPartitions("bucket")
     dealt.mapInArrow(run, "bucket int").write.parquet(f"{path}/index-done")
