@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ class PrefixCounter:
     """Counts for a byte-level vocabulary, read from the text of its file."""
 
     def __init__(self, vocabulary: str):
+        import ahocorasick
         import regex
 
         data = json.loads(vocabulary)
@@ -44,13 +46,16 @@ class PrefixCounter:
         self.spelling = {ids[t]: s for t, s in spelled.items()}
         # a token that does not encode to itself ends no prefix
         self.ids = {s: ids[t] for t, s in spelled.items() if len(s) == 1 or self._encode(s) == [ids[t]]}
-        self.longest = max(map(len, self.ids))
+        self.found = ahocorasick.Automaton()
+        for spelling, token in self.ids.items():
+            self.found.add_word(spelling.decode("latin-1"), (len(spelling), token))
+        self.found.make_automaton()
         self.special = [t["content"] for t in data["added_tokens"]]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(BYTE_LEVEL)
         self.stable = Memo(self._stable, 1_000_000)
-        self.after = Memo(lambda piece: self.count_chunk(" " + piece), 500_000)
-        self.whole = Memo(self.count_chunk, 100_000)
+        self.after = Memo(lambda piece: self.chunk_counts(" " + piece), 500_000)
+        self.whole = Memo(self.chunk_counts, 100_000)
 
     def _encode(self, piece: bytes) -> list[int]:
         return merge_pairs([self.byte_ids[b] for b in piece], self.merges)
@@ -60,35 +65,43 @@ class PrefixCounter:
         return self._encode(self.spelling[left] + self.spelling[right]) == [left, right]
 
     def prefixes(self, piece: bytes) -> list[int]:
-        """Tokens of ``piece[:i]`` for i = 0..len(piece); ``piece`` is one piece of the splitting pattern."""
-        n, ids, stable, longest = len(piece), self.ids, self.stable, self.longest
+        """Tokens of ``piece[:i]`` for i = 0..len(piece); ``piece`` is one piece of the splitting pattern.
+
+        The automaton tells, for each end, the tokens that end there, the longest first; the first that stands beside
+        the last token of the prefix before it is the last token here.
+        """
+        n, stable = len(piece), self.stable
         last, counts = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = ids.get(piece[start:end])
-                if token is not None and (start == 0 or stable[last[start] << 20 | token]):
-                    last[end], counts[end] = token, counts[start] + 1
-                    break
+        for at, (length, token) in self.found.iter(piece.decode("latin-1")):
+            if last[at + 1] < 0:
+                start = at + 1 - length
+                if not start or stable[last[start] << 20 | token]:
+                    last[at + 1], counts[at + 1] = token, counts[start] + 1
         return counts
 
     def _pieces(self, chunk: str) -> list[str]:
         return self.pattern.findall(chunk)
 
-    def count_chunk(self, chunk: str) -> int:
+    def chunk_counts(self, chunk: str) -> list[list[int]]:
+        """The prefix counts of each piece of a chunk, as they are stored; a special token is a piece of one token."""
         parts = self.split_special.split(chunk) if self.split_special else [chunk]
-        total = len(parts) // 2
-        for part in parts[::2]:
-            for piece in self._pieces(part):
-                data = piece.encode()
-                total += 1 if data in self.ids else self.prefixes(data)[-1]
-        return total
+        out = []
+        for i, part in enumerate(parts):
+            out += [[0, 1]] if i % 2 else [self.prefixes(piece.encode()) for piece in self._pieces(part)]
+        return out
+
+    def count_chunk(self, chunk: str) -> int:
+        return sum([counts[-1] for counts in self.chunk_counts(chunk)])
 
     def count(self, text: str) -> int:
-        """Tokens of the whole text: no piece reaches over a place where a blank follows another character."""
+        """The count at the last prefix: no piece reaches over a place where a blank follows another character, so the
+        last stored counts of all pieces add up."""
         if _IRREGULAR.search(text):
-            return sum(map(self.whole.__getitem__, _SAFE.split(text)))
-        first, *rest = text.split(" ")
-        return self.whole[first] + sum(map(self.after.__getitem__, rest))
+            chunks = map(self.whole.__getitem__, _SAFE.split(text))
+        else:
+            first, *rest = text.split(" ")
+            chunks = chain([self.whole[first]], map(self.after.__getitem__, rest))
+        return sum([counts[-1] for chunk in chunks for counts in chunk])
 
     def table(self, text: str) -> np.ndarray:
         """Tokens of ``text[:i]`` for i = 0..len(text), counted in characters.
@@ -119,6 +132,11 @@ class PrefixCounter:
             if piece[0] == "'" or piece.isspace():
                 for k in range(1, len(piece)):
                     out[start + k] = self._tail(text, start, start + k, out)
+                if piece.isspace() and match.end() < len(part):
+                    # white space before a word: as the end of a prefix it is one piece with what stands before it
+                    base += counts[-1]
+                    out[start + len(piece)] = self._tail(text, start, start + len(piece), out)
+                    continue
             else:
                 width = 0
                 for k, letter in enumerate(piece[:-1], 1):
