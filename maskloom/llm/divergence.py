@@ -26,12 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.llm.common import bound_batches, name, texts_of
-from maskloom.session import materialise
+from maskloom.session import broadcast_if_small, materialise
 
 SCALE = 1_000_000_000
 ROWS = 64
 LEVELS = 6
-TILE = 1024
+TILE, CELLS = 1024, 2**18
+LANGUAGES = 10_000
 HELD = 400_000
 # every byte that is not of a term becomes a blank; bytes of characters beyond ASCII are of terms
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -96,18 +97,32 @@ class Audit:
     """
 
     def __init__(self, df: DataFrame, text: str, lang: str, source: str, least: int = 3):
-        counts = materialise(count_terms(df, text, lang, source), "term-counts")
-        terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"))
-        terms = materialise(terms.where(F.col("docs") >= least).select("lang", "term", "all"), "terms")
-        of_lang = terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all").alias("lang_total"))
+        counts = count_terms(df, text, lang, source)
+        # rows of a term: one for each source of the language
+        term = Window.partitionBy("lang", "term")
+        kept = counts.select(
+            "lang",
+            "source",
+            "term",
+            "n",
+            F.sum("n").over(term).alias("all"),
+            F.sum("docs").over(term).alias("docs"),
+            (F.row_number().over(term.orderBy("source")) == 1).cast("long").alias("first"),
+        ).where(F.col("docs") >= least)
+        kept = materialise(kept.drop("docs"), "kept-terms")
+        of_lang = materialise(
+            kept.groupBy("lang").agg(
+                F.sum("first").alias("kept"), F.sum("n").alias("lang_total"), F.count("*").alias("cells")
+            ),
+            "languages",
+        )
         # a tile takes the terms of one hash; inside it frequent terms come first, so that what is rare lies together
-        tile = F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / TILE)).cast("int")
+        tiles = F.ceil(F.greatest(F.col("kept") / TILE, F.col("cells") / CELLS))
         inside = Window.partitionBy("lang", "tile").orderBy(F.col("all").desc(), "term")
-        placed = terms.join(of_lang, "lang").withColumn("tile", tile)
-        placed = placed.withColumn("column", F.row_number().over(inside) - 1)
-        self.entries = materialise(
-            counts.select("lang", "source", "term", "n").join(placed, ["lang", "term"]), "matrix"
-        )
+        of_each = of_lang.select("lang", "kept", "lang_total", tiles.alias("tiles"))
+        placed = kept.drop("first").join(broadcast_if_small(of_each, LANGUAGES), "lang")
+        placed = placed.withColumn("tile", F.pmod(F.xxhash64("term"), "tiles").cast("int")).drop("tiles")
+        self.entries = materialise(placed.withColumn("column", F.dense_rank().over(inside) - 1), "matrix")
         totals = self.entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         pairs = df.select(*[F.coalesce(name(c).cast("string"), F.lit("")) for c in (lang, source)])
         order = Window.partitionBy("lang").orderBy("source")
