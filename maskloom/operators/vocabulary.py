@@ -270,6 +270,23 @@ def _close_to_best(ranked: Sequence[tuple[int, int, int]], rho: float, room: int
     return chosen
 
 
+def start_names(
+    counts: DataFrame,
+    special_tokens: Sequence[str],
+    continuation: str,
+    chars: Sequence[str] | None,
+    alphabet_limit: int,
+) -> list[str]:
+    """The tokens before any merge: special tokens, the alphabet, and its characters within words."""
+    if chars is None:
+        chars = [r["ch"] for r in alphabet(counts, alphabet_limit).collect()]
+    names = list(special_tokens) + [c for c in sorted(chars) if c not in special_tokens]
+    if continuation:
+        inner = continuation_characters(counts).where(F.col("ch").isin(list(chars)))
+        names += sorted(continuation + r["ch"] for r in inner.collect())
+    return names
+
+
 def train(
     counts: DataFrame,
     vocab_size: int,
@@ -291,13 +308,8 @@ def train(
     Without ``chars`` the alphabet is the ``alphabet_limit`` most frequent characters. ``rho`` trades agreement for fewer rounds; without it merges are exactly those of one-at-a-time training.
     """
     shared_dir(counts.sparkSession)
-    if chars is None:
-        chars = [r["ch"] for r in alphabet(counts, alphabet_limit).collect()]
-    chars = sorted(chars)
-    names = list(special_tokens) + [c for c in chars if c not in special_tokens]
-    if continuation:
-        inner = continuation_characters(counts).where(F.col("ch").isin(chars))
-        names += sorted(continuation + r["ch"] for r in inner.collect())
+    names = start_names(counts, special_tokens, continuation, chars, alphabet_limit)
+    chars = sorted(chars if chars is not None else [n for n in names if len(n) == 1])
     tokens = {name: i for i, name in enumerate(names)}
     merges: list[tuple[str, str]] = []
     rounds = 0

@@ -19,6 +19,7 @@ from maskloom.operators import (
     scoring,
     splitting,
     summary,
+    together,
     vocabulary,
     windows,
 )
@@ -31,8 +32,8 @@ REGISTRY: dict[str, Query] = {}
 
 # The vocabulary of the queries: frequent words, frequent endings, and two characters without continuation.
 N_WORDS, N_ENDINGS, WITHOUT = 1000, 200, ("q", "z")
-# Vocabulary sizes for the training queries, small enough for a test run.
-TRAINED_SIZE = 350
+# The size that the training queries ask for.
+TRAINED_SIZE = 30_512
 MODELS = {"bigram-0.1": 0.1, "bigram-1": 1.0}
 ITEM = ["sample", "item"]
 
@@ -395,19 +396,19 @@ def oov_rate(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def train_wordpiece(spark: SparkSession, sf: str) -> DataFrame:
     docs = _train(_documents(spark, sf, "doc_id", "text"))
-    return vocabulary.train_wordpiece(docs, TRAINED_SIZE).token_table(spark)
+    return together.train_wordpiece(docs, TRAINED_SIZE).token_table(spark)
 
 
 @query
 def train_byte_level(spark: SparkSession, sf: str) -> DataFrame:
     docs = _train(_documents(spark, sf, "doc_id", "text"))
-    return vocabulary.train_byte_level(docs, TRAINED_SIZE).merge_table(spark)
+    return together.train_byte_level(docs, TRAINED_SIZE).merge_table(spark)
 
 
 @query
 def byte_level_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf, "doc_id", "text")
-    vocab = vocabulary.train_byte_level(_train(docs), TRAINED_SIZE)
+    vocab = together.train_byte_level(_train(docs), TRAINED_SIZE)
     encoded = encoding.encode_byte_level(docs, vocab)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _text("ids").alias("ids"))
 
@@ -416,7 +417,7 @@ def byte_level_documents(spark: SparkSession, sf: str) -> DataFrame:
 def vocabulary_sizes(spark: SparkSession, sf: str) -> DataFrame:
     docs = _train(_documents(spark, sf, "doc_id", "text"))
     basic = _vocabulary(spark, sf)
-    trained = vocabulary.train_byte_level(docs, TRAINED_SIZE)
+    trained = together.train_byte_level(docs, TRAINED_SIZE)
     return vocabulary.vocabulary_sizes({"wordpiece": basic, "byte_level": trained}, spark)
 
 
@@ -425,7 +426,7 @@ def compare_tokens(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf, "doc_id", "text")
     test = splitting.threshold_split(docs, "doc_id", test_size=0.1, seed=666).where(F.col("split") == "test")
     picked = splitting.sample(test, "doc_id", n=5, seed=42)
-    trained = vocabulary.train_byte_level(_train(docs), TRAINED_SIZE)
+    trained = together.train_byte_level(_train(docs), TRAINED_SIZE)
     return encoding.compare_tokens(picked, "doc_id", _vocabulary(spark, sf), trained)
 
 
