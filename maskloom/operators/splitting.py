@@ -20,26 +20,18 @@ def threshold_split(df: DataFrame, *keys: str, test_size: float, seed: int | str
     return df.withColumn("split", split_name(seed, test_size, *[F.col(k) for k in keys]))
 
 
-def _first_by_draw(
-    df: DataFrame, key: str, seed: int | str, share: float, rounding: str, digits: int = 2, most: int = 10_000
-) -> Column:
-    """True for the rows that come first in the seeded order, a share of them rounded to whole rows.
+def _border(keyed: DataFrame, wanted: int, digits: int = 2, most: int = 10_000) -> str:
+    """The draw (``_draw``) of the row that is number ``wanted`` in the seeded order; there must be so many rows.
 
     Only counts per hash prefix are looked at, with a longer prefix where the border lies until at most ``most``
     rows share it; the rows themselves do not move.
     """
-    drawn = draw(seed, F.col(key))
-    keyed = df.select(drawn.alias("_draw"))
-    border, wanted = "", None
+    border = ""
     while True:
         length = len(border) + digits
         inside = keyed.where(F.col("_draw").startswith(border))
         counted = inside.groupBy(F.substring("_draw", 1, length).alias("_prefix")).count()
         counts = {r["_prefix"]: r["count"] for r in counted.collect()}  # at most 16**digits
-        if wanted is None:
-            wanted = int((Decimal(str(share)) * sum(counts.values())).to_integral_value(rounding))
-            if wanted == 0:
-                return F.lit(False)
         for border in sorted(counts):
             if wanted <= counts[border]:
                 break
@@ -48,7 +40,16 @@ def _first_by_draw(
             break
     # at most ``most`` rows, or rows with one and the same draw
     last = keyed.where(F.col("_draw").startswith(border)).orderBy("_draw").limit(min(wanted, most))
-    return drawn <= last.agg(F.max("_draw")).first()[0]
+    return last.agg(F.max("_draw")).first()[0]
+
+
+def _first_by_draw(df: DataFrame, key: str, seed: int | str, share: float, rounding: str) -> Column:
+    """True for the rows that come first in the seeded order, a share of them rounded to whole rows."""
+    drawn = draw(seed, F.col(key))
+    wanted = int((Decimal(str(share)) * df.count()).to_integral_value(rounding))
+    if wanted == 0:
+        return F.lit(False)
+    return drawn <= _border(df.select(drawn.alias("_draw")), wanted)
 
 
 def exact_split(df: DataFrame, key: str, test_size: float, seed: int | str) -> DataFrame:
@@ -89,6 +90,19 @@ def positional_split(df: DataFrame, position: str, test_size: float, seed: int |
 
 
 def sample(df: DataFrame, *keys: str, n: int, seed: int | str) -> DataFrame:
-    """``n`` rows without replacement, in seeded order."""
+    """``n`` rows without replacement, in seeded order.
+
+    The draw of the last row is found from counts first, so that only ``n`` rows are sorted, whatever the number of
+    tasks. Rows with a null key have no draw and come first, as many as fit.
+    """
     drawn = draw(seed, *[F.col(k) for k in keys])
-    return df.withColumn("_draw", drawn).orderBy("_draw", *keys).limit(n).drop("_draw")
+    rows = df.withColumn("_draw", drawn)
+    held = rows.groupBy(F.col("_draw").isNull().alias("null")).count().collect()
+    counts = {r["null"]: r["count"] for r in held}
+    wanted = n - counts.get(True, 0)
+    if wanted <= 0:
+        rows = rows.where(F.col("_draw").isNull())
+    elif wanted < counts.get(False, 0):
+        border = _border(rows.select("_draw").where(F.col("_draw").isNotNull()), wanted)
+        rows = rows.where(F.col("_draw").isNull() | (F.col("_draw") <= border))
+    return rows.orderBy("_draw", *keys).limit(n).drop("_draw")

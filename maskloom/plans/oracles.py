@@ -233,6 +233,8 @@ def oracles() -> dict[str, str]:
         "sample_n": f"""SELECT sample, item, text FROM (SELECT *, row_number() OVER (PARTITION BY sample
  ORDER BY md5('42:' || sample || ':' || item)) AS place FROM ({HELD_OUT}))
  WHERE place <= CASE sample WHEN 'benchmark' THEN 30 ELSE 300 END""",
+        "sample_5": f"""SELECT doc_id, text FROM documents WHERE {TEST}
+ ORDER BY md5('42:' || doc_id) LIMIT 5""",
         "leak_windows": documents(
             f"""SELECT doc_id, count(*) FILTER (WHERE split = 'train') AS n_train,
  count(*) FILTER (WHERE split = 'validation') AS n_validation, count(*) FILTER (WHERE split = 'test') AS n_test

@@ -421,6 +421,14 @@ def vocabulary_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return vocabulary.vocabulary_sizes({"wordpiece": basic, "byte_level": trained}, spark)
 
 
+@query
+def sample_5(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts that the tokens of two vocabularies are compared on."""
+    docs = _documents(spark, sf, "doc_id", "text")
+    test = splitting.threshold_split(docs, "doc_id", test_size=0.1, seed=666).where(F.col("split") == "test")
+    return splitting.sample(test, "doc_id", n=5, seed=42).select("doc_id", "text")
+
+
 @query
 def compare_tokens(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf, "doc_id", "text")

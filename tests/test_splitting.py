@@ -50,6 +50,17 @@ def test_sample_is_repeatable(keys):
     assert first == second and len(set(first)) == 50
 
 
+def test_sample_takes_the_smallest_draws(spark):
+    """Repeated keys, null keys, more rows wanted than there are, and a border inside one prefix."""
+    rows = [(i,) for i in range(3000)] + [(7,)] * 40 + [(None,)] * 3
+    df = spark.createDataFrame(rows, "doc_id long").repartition(5)
+    everything = [r["doc_id"] for r in splitting.sample(df, "doc_id", n=9999, seed=1).collect()]
+    assert len(everything) == len(rows) and everything[:3] == [None] * 3
+    for n in (0, 1, 2, 3, 4, 100, 1500, 3042):
+        assert [r["doc_id"] for r in splitting.sample(df, "doc_id", n=n, seed=1).collect()] == everything[:n]
+    assert splitting.sample(df.limit(0), "doc_id", n=5, seed=1).collect() == []
+
+
 def test_audits(spark):
     rows = [(1, 0, "train"), (1, 1, "validation"), (2, 0, "train"), (3, 0, "test")]
     windows = spark.createDataFrame(rows, "doc_id long, win int, split string")
