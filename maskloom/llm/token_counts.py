@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -82,26 +82,32 @@ class PrefixCounter:
     def _pieces(self, chunk: str) -> list[str]:
         return self.pattern.findall(chunk)
 
-    def chunk_counts(self, chunk: str) -> list[list[int]]:
-        """The prefix counts of each piece of a chunk, as they are stored; a special token is a piece of one token."""
+    def chunk_counts(self, chunk: str) -> array:
+        """The count at every prefix of a chunk, piece by piece in bytes; a special token is one step.
+
+        They are kept as arrays, which the collector of cycles need not walk through.
+        """
         parts = self.split_special.split(chunk) if self.split_special else [chunk]
-        out = []
+        out = array("I", [0])
         for i, part in enumerate(parts):
-            out += [[0, 1]] if i % 2 else [self.prefixes(piece.encode()) for piece in self._pieces(part)]
+            if i % 2:
+                out.append(out[-1] + 1)
+                continue
+            for piece in self._pieces(part):
+                base, counts = out[-1], self.prefixes(piece.encode())
+                out.extend([base + n for n in counts[1:]] if base else counts[1:])
         return out
 
     def count_chunk(self, chunk: str) -> int:
-        return sum([counts[-1] for counts in self.chunk_counts(chunk)])
+        return self.chunk_counts(chunk)[-1]
 
     def count(self, text: str) -> int:
         """The count at the last prefix: no piece reaches over a place where a blank follows another character, so the
-        last stored counts of all pieces add up."""
+        last stored counts of all chunks add up."""
         if _IRREGULAR.search(text):
-            chunks = map(self.whole.__getitem__, _SAFE.split(text))
-        else:
-            first, *rest = text.split(" ")
-            chunks = chain([self.whole[first]], map(self.after.__getitem__, rest))
-        return sum([counts[-1] for chunk in chunks for counts in chunk])
+            return sum([counts[-1] for counts in map(self.whole.__getitem__, _SAFE.split(text))])
+        first, *rest = text.split(" ")
+        return self.whole[first][-1] + sum([counts[-1] for counts in map(self.after.__getitem__, rest)])
 
     def table(self, text: str) -> np.ndarray:
         """Tokens of ``text[:i]`` for i = 0..len(text), counted in characters.
