@@ -333,3 +333,21 @@ def test_store_query(spark, word):
         assert rows[key]["ids_crc32"] == zlib.crc32(ids.tobytes())
         at += len(ids)
     assert len(rows) == len(docs)
+
+
+def test_store_with_text_keys(spark, word):
+    rows = [(f"doc-{i % 50}", f"w {i}") for i in range(120)] + [(None, "n"), ("", "empty key")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    store = token_store.write_store(df, "doc_id", "text", read_vocabulary(WORD), 1, rows_per_shard=8)
+    found = {}
+    for r in store.read(store.keys(df, "doc_id")).collect():
+        found.setdefault(r["key"], []).append((r["copy"], bytes(r["ids"])))
+    want = {}
+    for key, text in rows:
+        want.setdefault(key, []).append(np.asarray([*ids_of(word, text), 1], "<u4").tobytes())
+    assert found.keys() == want.keys()
+    for key, texts in want.items():
+        assert sorted(c for c, _ in found[key]) == list(range(len(texts)))
+        assert sorted(x for _, x in found[key]) == sorted(texts)
+    missing = spark.createDataFrame([("doc-99", 0), ("doc-1", 9)], "key string, copy long")
+    assert store.read(missing).count() == 0
