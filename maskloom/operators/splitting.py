@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.draws import below, draw
+from maskloom.operators.selection import same_group, values_at
+from maskloom.session import materialise
 
 
 def split_name(seed: int | str, test_size: float, *keys: Column) -> Column:
@@ -106,3 +108,48 @@ def sample(df: DataFrame, *keys: str, n: int, seed: int | str) -> DataFrame:
         border = _border(rows.select("_draw").where(F.col("_draw").isNotNull()), wanted)
         rows = rows.where(F.col("_draw").isNull() | (F.col("_draw") <= border))
     return rows.orderBy("_draw", *keys).limit(n).drop("_draw")
+
+
+def fit_groups(histogram: dict[int, int], wanted: int) -> dict[int, int]:
+    """How many groups of each size to take, so that the rows come to ``wanted`` or as little below as steps allow.
+
+    ``histogram`` has the number of groups of each size. Every size gives its share first; what is missing then is
+    filled with the largest groups that fit. The sum falls short by less than the smallest group that was left.
+    """
+    rows = sum(size * count for size, count in histogram.items())
+    taken = {size: wanted * count // rows for size, count in histogram.items()}
+    missing = wanted - sum(size * count for size, count in taken.items())
+    for size in sorted(histogram, reverse=True):
+        more = min(histogram[size] - taken[size], missing // size)
+        taken[size] += more
+        missing -= more * size
+    return taken
+
+
+def group_split(df: DataFrame, group: str, test_size: float, seed: int | str) -> DataFrame:
+    """``ceil(test_size * n)`` test rows, or fewer by less than a group, with equal values of ``group`` on one side.
+
+    Where documents are copied, a split by document puts copies on both sides; this one takes whole groups. Which of
+    the groups of one size are taken depends only on the seed and the group's value. Nulls are one group.
+
+    The driver sees one number a group size; there are at most ``sqrt(2 n)`` sizes. Groups are counted before the
+    shuffle, and the last group taken of each size is found by counting (``values_at``), as most groups may have one
+    size. A group with a large share of the rows is a skewed key of one join, which adaptive execution splits.
+    """
+    keyed = df.withColumn("_group", F.coalesce(F.sha2(F.col(group).cast("string"), 256), F.lit("")))
+    sizes = keyed.groupBy("_group").agg(F.count("*").alias("_size"))
+    number = F.conv(F.substring(draw(seed, F.col("_group")), 1, 15), 16, 10).cast("long")
+    sizes = materialise(sizes.withColumn("_v", number), "groups")
+    histogram = {r["_size"]: r["count"] for r in sizes.groupBy("_size").count().collect()}
+    if not histogram:
+        return df.withColumn("split", F.lit("train"))
+    rows = sum(size * count for size, count in histogram.items())
+    wanted = int((Decimal(str(test_size)) * rows).to_integral_value(ROUND_CEILING))
+    last = [(size, taken - 1) for size, taken in fit_groups(histogram, wanted).items() if taken]
+    places = df.sparkSession.createDataFrame(last, "_size long, _rank long")
+    counted = materialise(sizes.groupBy("_size", "_v").agg(F.count("*").alias("_n")), "draws")
+    borders = materialise(values_at(counted, places, ["_size"]).drop("_rank"), "borders")
+    sides = same_group(sizes, borders, ["_size"], "left")
+    chosen = F.coalesce(F.col("_v") <= F.col("_found"), F.lit(False))
+    sides = sides.select("_group", F.when(chosen, "test").otherwise("train").alias("split"))
+    return keyed.join(sides, "_group", "left").select(*df.columns, "split")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.operators.selection import same_group, values_at
 from maskloom.session import materialise
 
 # The statistics of a summary table, in order.
 DESCRIBE = ["count", "mean", "std", "min", "25%", "50%", "75%", "max", "median"]
 
-MAX_GROUPS = 1000
+PIECES = 64
 
 
 def exact_quantiles(
@@ -23,58 +24,37 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group and share.
 
-    Up to ``max_values`` distinct values, counted first, the built-in aggregate holds them. Beyond that no task
-    holds a whole group: values fall into ``buckets`` ranges, by default one for 20,000 values, the wanted places are found from the range
-    totals, and only the ranges that hold one are sorted. The range limits of up to ``MAX_GROUPS`` groups are
-    broadcast; more groups are joined by shuffle.
+    Groups of up to ``max_values`` distinct values, counted first, are held by the built-in aggregate. The others are
+    fewer than one for ``max_values`` values; their quantiles are selected by rounds of counting ``buckets`` ranges (``values_at``), so no
+    task holds more than ``max_values`` values of a group. Both ways give the same number to the last bit.
     """
+    wanted = F.array(*[F.lit(float(s)) for s in shares])
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     counted = materialise(counted, "quantiles")
-    if counted.limit(max_values + 1).count() <= max_values:
-        found = F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares]), F.col("_n"))
-        pairs = F.arrays_zip(F.array(*[F.lit(float(s)) for s in shares]).alias("share"), found.alias("value"))
-        return counted.groupBy(*by).agg(pairs.alias("_q")).select(*by, F.inline("_q"))
-    if buckets is None:
-        buckets = max(256, min(4096, -(-counted.count() // 20_000)))
-    limits = F.percentile_approx("_v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10 * buckets))
-    groups = counted.groupBy(*by).agg(limits.alias("_limits"), F.sum("_n").alias("_total"))
-    few = groups.select(*by).limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
-    hint = F.broadcast if few else lambda small: small
-    placed = counted.join(hint(groups), by)
-    placed = placed.withColumn("_bucket", F.size(F.filter("_limits", lambda c: c < F.col("_v")))).drop("_limits")
-    totals = placed.groupBy(*by, "_bucket", "_total").agg(F.sum("_n").alias("_size"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))  # few rows per group
-    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
-    places = starts.select("*", wanted).withColumn("_place", F.col("share") * (F.col("_total") - 1))
-    edges = F.explode(F.array(F.floor("_place"), F.ceil("_place"))).alias("_rank")
-    hits = places.select(*by, "_bucket", "_start", "_size", "share", "_place", edges).where(
-        (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_size"))
-    )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    busy = hits.select(*by, "_bucket", "_start").distinct()
-    sorted_values = placed.join(hint(busy), [*by, "_bucket"]).withColumn(
-        "_until", F.col("_start") + F.sum("_n").over(inside)
-    )
-    found = sorted_values.select(*by, "_bucket", "_v", "_n", "_until").join(
-        hint(hits.drop("_start", "_size").distinct()), [*by, "_bucket"]
-    )
-    found = found.where((F.col("_rank") < F.col("_until")) & (F.col("_rank") >= F.col("_until") - F.col("_n")))
-    low, high = F.min("_v"), F.max("_v")
-    return (
-        found.groupBy(*by, "share", "_place")
-        .agg(low.alias("_low"), high.alias("_high"))
-        .select(
-            *by,
-            "share",
-            # weighted as the built-in aggregate does it, so that both ways give the same number to the last bit
-            F.when(F.col("_low") == F.col("_high"), F.col("_low").cast("double"))
-            .otherwise(
-                (F.ceil("_place") - F.col("_place")) * F.col("_low") + (F.col("_place") - F.floor("_place")) * F.col("_high")
-            )
-            .alias("value"),
-        )
+    sizes = counted.groupBy(*by).agg(F.count("*").alias("_held"), F.sum("_n").alias("_total"))
+    heavy = materialise(sizes.where(F.col("_held") > max_values).drop("_held"), "heavy-groups")
+    light = same_group(counted, heavy.drop("_total"), by, "left_anti")
+    found = F.percentile("_v", wanted, F.col("_n"))
+    pairs = F.arrays_zip(wanted.alias("share"), found.alias("value"))
+    held = light.groupBy(*by).agg(pairs.alias("_q")).select(*by, F.inline("_q"))
+    if heavy.isEmpty():
+        return held
+    places = heavy.select(*by, "_total", F.explode(wanted).alias("share"))
+    places = places.withColumn("_place", F.col("share") * (F.col("_total") - 1)).drop("_total")
+    edges = F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))).alias("_rank")
+    ranks = materialise(places.select("*", edges), "ranks")
+    values = values_at(counted, ranks, by, buckets or PIECES, max(max_values, 1))
+    values = materialise(values.withColumnRenamed("_rank", "_found_rank"), "selected")
+    both = same_group(ranks, values, by, within=F.col("_rank") == F.col("_found_rank"))
+    # weighted as the built-in aggregate does it
+    low, high, place = F.col("_low"), F.col("_high"), F.col("_place")
+    between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+    selected = (
+        both.groupBy(*by, "share", "_place")
+        .agg(F.min("_found").alias("_low"), F.max("_found").alias("_high"))
+        .select(*by, "share", F.when(low == high, low.cast("double")).otherwise(between).alias("value"))
     )
+    return held.unionByName(selected)
 
 
 def describe(df: DataFrame, by: list[str], value: str, exact: bool = True) -> DataFrame:

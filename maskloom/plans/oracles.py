@@ -173,6 +173,51 @@ OWN_LOSS = """SELECT sample, item, p::INT AS pos, p / 512.0 + 1.0::DOUBLE / (1 +
  FROM (SELECT sample, item, w, unnest(range(1, len(w) - 1)) AS p FROM firsts)"""
 
 
+def discounts(name: str, grams: str) -> str:
+    """One row with what to take off counts of one, two, and more."""
+    return f"""{name} AS (SELECT CASE WHEN fits THEN x1 ELSE 0.5::DOUBLE END AS d1, CASE WHEN fits THEN x2 ELSE 1.0::DOUBLE END AS d2,
+  CASE WHEN fits THEN x3 ELSE 1.5::DOUBLE END AS d3 FROM (SELECT *, least(n1, n2, n3, n4) > 0 AND x1 BETWEEN 0 AND 1
+   AND x2 BETWEEN 0 AND 2 AND x3 BETWEEN 0 AND 3 AS fits FROM (
+   SELECT *, 1 - 2 * y * n2 / n1 AS x1, 2 - 3 * y * n3 / n2 AS x2, 3 - 4 * y * n4 / n3 AS x3 FROM (
+    SELECT *, n1 / (n1 + 2 * n2) AS y FROM (SELECT count(*) FILTER (WHERE n = 1) AS n1,
+     count(*) FILTER (WHERE n = 2) AS n2, count(*) FILTER (WHERE n = 3) AS n3,
+     count(*) FILTER (WHERE n = 4) AS n4 FROM {grams})))))"""
+
+
+def contexts(name: str, grams: str, off: str, context: str, least: int = 1) -> str:
+    """Total and freed mass of each context."""
+    keys = f"{context}, " if context else ""
+    return f"""{name} AS (SELECT {keys}sum(n)::DOUBLE AS total, coalesce(sum(n) FILTER (WHERE n < {least}), 0)::DOUBLE
+  + d1 * count(*) FILTER (WHERE n = 1 AND n >= {least}) + d2 * count(*) FILTER (WHERE n = 2 AND n >= {least})
+  + d3 * count(*) FILTER (WHERE n > 2 AND n >= {least}) AS free FROM {grams}, {off} GROUP BY {keys}d1, d2, d3)"""
+
+
+def taken(n: str, off: str, least: int = 1) -> str:
+    """A kept count less its discount."""
+    return f"""CASE WHEN coalesce({n}, 0) < {least} THEN 0::DOUBLE
+  ELSE {n} - CASE {n} WHEN 1 THEN {off}.d1 WHEN 2 THEN {off}.d2 ELSE {off}.d3 END END"""
+
+
+def trigram_losses(least: int) -> str:
+    """``loss(sample, item, pos, a, b, c, loss)`` under interpolated Kneser-Ney smoothing."""
+    gram = "CASE WHEN p > 1 THEN w[p - 1] ELSE -1 END AS a, w[p] AS b, w[p + 1] AS c"
+    return f""", whole AS (SELECT [2] || ids || [3] AS w FROM enc WHERE sample = ''),
+tri AS (SELECT a, b, c, count(*) AS n FROM (SELECT {gram} FROM (SELECT w, unnest(range(1, len(w) - 1)) AS p FROM whole)) GROUP BY ALL),
+duo AS (SELECT b, c, count(*) AS n FROM tri GROUP BY ALL), uno AS (SELECT c, count(*) AS n FROM duo GROUP BY ALL),
+{discounts('off3', 'tri')}, {discounts('off2', 'duo')}, {discounts('off1', 'uno')},
+{contexts('ctx3', 'tri', 'off3', 'a, b', least)}, {contexts('ctx2', 'duo', 'off2', 'b')}, {contexts('ctx1', 'uno', 'off1', '')},
+held AS (SELECT sample, item, p::INT AS pos, {gram}
+  FROM (SELECT sample, item, w, unnest(range(1, len(w) - 1)) AS p FROM firsts WHERE sample <> '')),
+grams AS (SELECT DISTINCT a, b, c FROM held),
+s1 AS (SELECT a, b, c, ({taken('n', 'off1')} + free * (1.0::DOUBLE / (SELECT v FROM vocab_size))) / total AS one
+  FROM grams LEFT JOIN uno USING (c), off1, ctx1),
+s2 AS (SELECT a, b, c, coalesce(({taken('n', 'off2')} + free * one) / total, one) AS two
+  FROM s1 LEFT JOIN duo USING (b, c) LEFT JOIN ctx2 USING (b), off2),
+s3 AS (SELECT a, b, c, -ln(coalesce(({taken('n', 'off3', least)} + free * two) / total, two)) AS loss
+  FROM s2 LEFT JOIN tri USING (a, b, c) LEFT JOIN ctx3 USING (a, b), off3),
+loss AS (SELECT sample, item, pos, a, b, c, loss FROM held JOIN s3 USING (a, b, c))"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "parquet_roundtrip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
@@ -228,6 +273,27 @@ def oracles() -> dict[str, str]:
  <= ceil(0.2 * (SELECT count(*) FROM documents)) THEN 'test' ELSE 'train' END AS split FROM documents""",
         "split_exact_train": """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id))
  <= floor(0.8 * (SELECT count(*) FROM documents)) THEN 'train' ELSE 'validation' END AS split FROM documents""",
+        "split_by_text": """WITH RECURSIVE texts AS (SELECT sha256(text) AS h, count(*) AS s FROM documents GROUP BY 1),
+sizes AS (SELECT s, count(*) AS c FROM texts GROUP BY s),
+want AS (SELECT ceil(0.2 * count(*))::BIGINT AS w, count(*) AS n FROM documents),
+base AS (SELECT s, c, (w * c) // n AS t, row_number() OVER (ORDER BY s DESC) AS i FROM sizes, want),
+walk AS (SELECT 0::BIGINT AS i, 0::BIGINT AS s, 0::BIGINT AS take, ((SELECT w FROM want) - sum(s * t))::BIGINT AS r FROM base
+ UNION ALL SELECT b.i, b.s, b.t + least(b.c - b.t, r // b.s), r - b.s * least(b.c - b.t, r // b.s)
+ FROM walk JOIN base b ON b.i = walk.i + 1),
+placed AS (SELECT h, s, row_number() OVER (PARTITION BY s ORDER BY md5('42:' || h)) AS place FROM texts)
+SELECT doc_id, CASE WHEN place <= take THEN 'test' ELSE 'train' END AS split
+FROM documents JOIN placed ON h = sha256(text) JOIN walk USING (s)""",
+        "quantiles_by_source": """SELECT lang, source, share, round(CASE share WHEN 0.05 THEN a WHEN 0.5 THEN b ELSE c END, 6) AS value
+ FROM (SELECT lang, source, quantile_cont(n_chars, 0.05) AS a, quantile_cont(n_chars, 0.5) AS b,
+ quantile_cont(n_chars, 0.95) AS c FROM documents GROUP BY lang, source), (SELECT unnest([0.05, 0.5, 0.95]::DOUBLE[]) AS share)""",
+        "trigram_loss": encoded(
+            BOTH, f"{trigram_losses(1)} SELECT sample, item, pos, a, b, c, round(loss, 6) AS loss FROM loss"
+        ),
+        "pseudo_ppl_trigram": encoded(
+            BOTH,
+            f"""{trigram_losses(2)}, scored AS ({by_text('SELECT * FROM loss', 'batch')})
+SELECT sample, item, n_tokens, round(ppl, 6) AS ppl FROM ({HELD_OUT}) LEFT JOIN scored USING (sample, item)""",
+        ),
         "split_three_way_doc": f"SELECT doc_id, {three_way('doc_id')} AS split FROM documents",
         "split_three_way_window": documents(RUNS),
         "sample_n": f"""SELECT sample, item, text FROM (SELECT *, row_number() OVER (PARTITION BY sample

@@ -312,6 +312,13 @@ def split_three_way_window(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.three_way_split(_window_keys(spark, sf), ["doc_id", "win"], "doc_id")
 
 
+@query
+def split_by_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Test membership by equal texts: no text has copies on both sides."""
+    docs = _documents(spark, sf, "doc_id", "text")
+    return splitting.group_split(docs, "text", 0.2, 42).select("doc_id", "split")
+
+
 @query
 def sample_n(spark: SparkSession, sf: str) -> DataFrame:
     texts = _held_out(spark, sf)
@@ -568,6 +575,27 @@ def bigram_loss(spark: SparkSession, sf: str) -> DataFrame:
     return _losses(spark, sf).drop("n").withColumn("loss", F.round("loss", 6))
 
 
+def _trigram_losses(spark: SparkSession, sf: str, least: int) -> DataFrame:
+    vocab = _vocabulary(spark, sf)
+    model = recipes.train_trigrams(_train(_documents(spark, sf, "doc_id", "text")), vocab, least)
+    return recipes.trigram_losses(_held_out(spark, sf), model, vocab, ITEM)
+
+
+@query
+def trigram_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss of every held-out position under a smoothed trigram model of the train texts."""
+    losses = _trigram_losses(spark, sf, least=1)
+    return losses.select(*ITEM, "pos", "a", "b", "c", F.round("loss", 6).alias("loss"))
+
+
+@query
+def pseudo_ppl_trigram(spark: SparkSession, sf: str) -> DataFrame:
+    """Pseudo-perplexity of every held-out text under trigrams seen at least twice."""
+    scored = scoring.pseudo_perplexity(_trigram_losses(spark, sf, least=2), ITEM)
+    every = scoring.score_all(_held_out(spark, sf), scored, ITEM)
+    return every.select(*ITEM, "n_tokens", F.round("ppl", 6).alias("ppl"))
+
+
 def _perplexity(spark: SparkSession, sf: str, weighting: str) -> DataFrame:
     scored = scoring.pseudo_perplexity(_losses(spark, sf), ITEM, weighting)
     every = scoring.score_all(_held_out(spark, sf), scored, ITEM)
@@ -623,6 +651,14 @@ def quantiles_by_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("event_type", "share", F.round("value", 6).alias("value"))
 
 
+@query
+def quantiles_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact quantiles of lengths, where large sources are counted in rounds and small ones held by one aggregate."""
+    docs = _documents(spark, sf, "lang", "source", "n_chars")
+    found = summary.exact_quantiles(docs, ["lang", "source"], "n_chars", [0.05, 0.5, 0.95], 16, max_values=40)
+    return found.select("lang", "source", "share", F.round("value", 6).alias("value"))
+
+
 @query
 def completeness(spark: SparkSession, sf: str) -> DataFrame:
     expected = _documents(spark, sf, "doc_id", "source")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions import tokens as K
-from maskloom.operators import cleaning, encoding, ordering, scoring, splitting, summary, windows
+from maskloom.operators import cleaning, encoding, ngrams, ordering, scoring, splitting, summary, windows
 from maskloom.operators.vocabulary import Vocabulary
 from maskloom.session import materialise
 
@@ -59,6 +59,22 @@ def held_out_positions(texts: DataFrame, vocabulary: Vocabulary, keys: list[str]
     return materialise(scoring.bigrams(windows.truncate_first(encoded), keys, with_size=True), "positions")
 
 
+def train_trigrams(df: DataFrame, vocabulary: Vocabulary, least: int = 1) -> ngrams.TrigramModel:
+    """A trigram model of the train texts."""
+    encoded = encoding.encode_wordpiece(df.select("text"), vocabulary)
+    counted = ngrams.trigram_counts(encoded.select(K.with_specials(F.col("ids")).alias("input_ids")))
+    return ngrams.train(materialise(counted, "trigrams"), len(vocabulary), least)
+
+
+def trigram_losses(
+    texts: DataFrame, model: ngrams.TrigramModel, vocabulary: Vocabulary, keys: list[str]
+) -> DataFrame:
+    """Loss of every maskable position of the first window of each text."""
+    encoded = encoding.encode_wordpiece(texts.select(*keys, "text"), vocabulary)
+    positions = ngrams.trigrams(windows.truncate_first(encoded), keys, with_size=True)
+    return ngrams.losses(materialise(positions, "positions"), model)
+
+
 def score_held_out(
     texts: DataFrame,
     counts: DataFrame,
