@@ -10,12 +10,14 @@ group. Components come from alternating large-star and small-star steps.
 
 Defined cases: a null key takes no part, its row has a null component and is kept; null, empty and blank texts have
 no shingles and are linked with nothing; a text with fewer words than a shingle is one shingle; repeated rows are one
-class; more columns of the input are carried along, and one with the name of an output is replaced.
+class; more columns of the input are carried along, and one with the name of an output is replaced. The number of
+bands follows from the wanted similarity (``banding``).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,25 @@ from pyspark.sql import functions as F
 from maskloom.llm.common import annotate, list_array, mix, name, texts_of, window_hashes, word_hashes
 from maskloom.session import materialise
 
-ROWS, BANDS = 6, 32
+# A pair at the wanted similarity shares no band with at most this chance, with about this many minima.
+MISS, MINIMA = 3e-7, 200
 CELL = 128
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Minima a band, as many as fit, and the number of bands."""
+    if percent >= 100:
+        return 8, 1  # equal sets are one class already
+
+    def bands(rows: int) -> int:
+        return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows)))
+
+    rows = 1
+    while (rows + 1) * bands(rows + 1) <= MINIMA:
+        rows += 1
+    return rows, bands(rows)
+
+
 def lower_ascii(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
@@ -54,13 +71,15 @@ def minima(values: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.n
     return out
 
 
-def signatures(df: DataFrame, text: str, size: int, keep: list[str] | None = None) -> DataFrame:
+def signatures(df: DataFrame, text: str, size: int, percent: int, keep: list[str] | None = None) -> DataFrame:
     """Add ``n_shingles``, ``node`` (digest of the set; null if empty), ``sketch`` (a byte for each minimum) and
     ``bands`` (one bucket key for each band)."""
 
+    n_rows, n_bands = banding(percent)
+
     def kernel():
-        factors, offsets = _functions(ROWS * BANDS)
-        seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+        factors, offsets = _functions(n_rows * n_bands)
+        seeds = mix(np.arange(1, n_bands + 1, dtype=np.uint64))
 
         def work(array):
             n, node, sketch, bands = [], [], [], []
@@ -75,11 +94,11 @@ def signatures(df: DataFrame, text: str, size: int, keep: list[str] | None = Non
                 low = minima(found, factors, offsets)
                 sketch.append(low.astype(np.uint8).tobytes())
                 key = seeds.copy()
-                for column in low.reshape(BANDS, ROWS).T:
+                for column in low.reshape(n_bands, n_rows).T:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
                 bands.append(key)
             values = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
-            lengths = np.where(np.array(n, np.int64) > 0, BANDS, 0)
+            lengths = np.where(np.array(n, np.int64) > 0, n_bands, 0)
             return [
                 pa.array(n, pa.int64()),
                 pa.array(node, pa.binary()),
@@ -119,7 +138,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _likely(a: str, b: str, percent: int) -> F.Column:
     """Signatures agree about as often as the sets' similarity says, less five standard deviations."""
 
-    n = ROWS * BANDS
+    n = math.prod(banding(percent))
     p = percent / 100
     least = int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
 
@@ -228,19 +247,19 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def near_duplicates(
-    df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80, keep: list[str] | None = None
-) -> DataFrame:
-    """Add ``n_shingles``, ``node`` (the class), ``root`` (the component, null where a document has no links) and
-    ``component_id``, the smallest key that can be reached over links between documents."""
-    kept = [key] if keep is None else list(dict.fromkeys([key, *keep]))
-    every = materialise(signatures(df.select(*map(name, dict.fromkeys([*kept, text]))), text, size, kept), "signatures")
-    taken = {"n_shingles", "node", "sketch", "bands", "root", "component_id"}
-    kept = [c for c in kept if c.lower() not in taken]
-    rows = every.withColumn("_id", name(key))
-    with_id = rows.where(F.col("_id").isNotNull() & F.col("node").isNotNull())
+OUTPUTS = ["n_shingles", "node", "root", "component_id"]
+
+
+def _classified(
+    df: DataFrame, key: str, text: str, size: int, percent: int, kept: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Every row as ``row`` (the kept columns, so that no name clashes), ``id``, ``n_shingles`` and ``node``; and every
+    class as ``node``, ``first`` (its smallest key), ``root`` and ``component`` (the smallest key reached)."""
+    plain = df.select(F.struct(*map(name, kept)).alias("row"), name(key).alias("id"), name(text).alias("text"))
+    rows = materialise(signatures(plain, "text", size, percent, ["row", "id"]), "signatures")
+    with_id = rows.where(F.col("id").isNotNull() & F.col("node").isNotNull())
     classes = with_id.groupBy("node").agg(
-        F.min("_id").alias("first"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")
+        F.min("id").alias("first"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")
     )
     classes = materialise(classes, "classes")
 
@@ -325,24 +344,52 @@ def near_duplicates(
     smallest = materialise(named.groupBy("root").agg(F.min("first").alias("_least")), "smallest")
     reached = named.join(smallest, "root").select("node", "root", "_least")
     by_class = classes.select("node", "first").join(reached, "node", "left")
-    by_class = by_class.select("node", "root", F.coalesce("_least", "first").alias("_component"))
-    by_class = materialise(by_class, "reached")
-    out = rows.join(by_class, "node", "left")
-    component = F.when(F.col("_id").isNull(), F.lit(None)).otherwise(
-        F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("_component"))
+    by_class = by_class.select("node", "first", "root", F.coalesce("_least", "first").alias("component"))
+    return rows.select("row", "id", "n_shingles", "node"), materialise(by_class, "reached")
+
+
+def near_duplicates(
+    df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80, keep: list[str] | None = None
+) -> DataFrame:
+    """Add ``n_shingles``, ``node`` (the class), ``root`` (the component, null where a document has no links) and
+    ``component_id``, the smallest key that can be reached over links between documents."""
+    kept = [key] if keep is None else list(dict.fromkeys([key, *keep]))
+    rows, reached = _classified(df, key, text, size, percent, kept)
+    out = rows.join(reached.drop("first"), "node", "left")
+    component = F.when(F.col("id").isNotNull() & F.col("node").isNull(), F.col("id")).when(
+        F.col("id").isNotNull(), F.col("component")
     )
-    return out.select(
-        *map(name, kept), "n_shingles", "node", "root", component.alias("component_id")
+    carried = [F.col("row").getField(c).alias(c) for c in kept if c.lower() not in OUTPUTS]
+    return out.select(*carried, "n_shingles", "node", "root", component.alias("component_id"))
+
+
+def distinct_documents(df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of near copies, that of the smallest key; rows without a key or a shingle stay.
+
+    Which classes lead a component is known before rows are joined, so each row travels once, under its key and
+    class: copies of one text do not meet in one task, and repeats of a row are thinned out before they travel.
+    """
+    rows, reached = _classified(df, key, text, size, percent, df.columns)
+    leaders = reached.where(F.col("first") == F.col("component"))
+    # a repeated key may lead several classes of one component
+    best = leaders.groupBy(F.col("first").alias("id"), F.coalesce("root", "node").alias("_of")).agg(
+        F.min("node").alias("node")
     )
+    whole = F.col("id").isNotNull() & F.col("node").isNotNull()
+    same = Window.partitionBy("id", "node").orderBy("n_shingles")
+    once = rows.where(whole).withColumn("_turn", F.row_number().over(same)).where("_turn = 1")
+    kept = once.join(best.select("id", "node"), ["id", "node"], "left_semi")
+    return kept.select("row").union(rows.where(~whole).select("row")).select("row.*")
 
 
 def one_of_each(df: DataFrame, key: str) -> DataFrame:
     """Of the result of ``near_duplicates``, one row of each component: that of the smallest key."""
-    row = Window.partitionBy(name(key), "node").orderBy("n_shingles")
-    alone = df.where(F.col("node").isNull() | name(key).isNull())
-    rest = df.where(F.col("node").isNotNull() & name(key).isNotNull() & (name(key) == F.col("component_id")))
+    whole = F.col("node").isNotNull() & name(key).isNotNull()
+    rest = df.where(whole & (name(key) == F.col("component_id")))
     # a repeated key whose texts are near copies of each other, or the same row twice
-    by_root = Window.partitionBy(name(key), F.coalesce("root", "node")).orderBy("node")
-    first = rest.withColumn("_row", F.row_number().over(row)).where("_row = 1")
-    first = first.withColumn("_row", F.row_number().over(by_root)).where("_row = 1").drop("_row")
-    return first.unionByName(alone)
+    by_root = Window.partitionBy(name(key), F.coalesce("root", "node")).orderBy("node", "n_shingles")
+    turn = "_turn"
+    while turn in df.columns:
+        turn += "_"
+    first = rest.withColumn(turn, F.row_number().over(by_root)).where(F.col(turn) == 1).drop(turn)
+    return first.unionByName(df.where(~whole))

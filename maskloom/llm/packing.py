@@ -194,25 +194,22 @@ def plan(counts: np.ndarray, size: int, width: int = 4, nodes: int = 20_000) ->
 
 
 def _numbered(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``_number``, 0..n-1 among the pieces of equal length. Only buckets of keys are sorted, never a length."""
+    """Each piece as ``row``, with its ``length`` and ``number``, 0..n-1 among the pieces of equal length.
+
+    Only buckets of keys are sorted, never a length. The columns of a piece lie in a struct, so that none clashes.
+    """
     rows = pieces.count()
     buckets = max(1, math.ceil(rows / ROWS_PER_BUCKET))
-    bucket = F.pmod(F.xxhash64(*map(name, keys)), F.lit(buckets))
-    tagged = pieces.withColumn("_bucket", bucket)
-    sizes = tagged.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        F.col("length").alias("_of"),
-        F.col("_bucket").alias("_in"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"),
-    )
-    inside = Window.partitionBy("length", "_bucket").orderBy(*map(name, keys))
-    ranked = tagged.withColumn("_rank", F.row_number().over(inside) - 1)
-    return (
-        ranked.join(starts, (ranked["length"] == starts["_of"]) & (ranked["_bucket"] == starts["_in"]))
-        .withColumn("_number", (F.col("_first") + F.col("_rank")).cast("long"))
-        .drop("_bucket", "_rank", "_of", "_in", "_first")
-    )
+    order = [F.col("row").getField(k) for k in keys]
+    tagged = pieces.select(F.struct("*").alias("row"), name("length").alias("length"))
+    tagged = tagged.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    sizes = tagged.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("length", "bucket").orderBy(*order)
+    ranked = tagged.withColumn("rank", F.row_number().over(inside) - 1)
+    number = (F.col("first") + F.col("rank")).cast("long").alias("number")
+    return ranked.join(starts, ["length", "bucket"]).select("row", "length", number)
 
 
 def _slots(chosen: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
@@ -231,7 +228,7 @@ def _slots(chosen: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
 
 
 def pack(pieces: DataFrame, keys: list[str], size: int, width: int = 4, nodes: int = 20_000) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``size``.
+    """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``size``; such columns are replaced.
 
     ``keys`` tell pieces apart (more columns may be given where keys repeat). ``pieces`` is read three times; pass a
     table, not a costly plan.
@@ -257,13 +254,10 @@ def pack(pieces: DataFrame, keys: list[str], size: int, width: int = 4, nodes: i
 
         return work
 
-    return annotate(
-        numbered,
-        ["length", "_number"],
-        kernel,
-        "sequence_id long, offset long",
-        [c for c in numbered.columns if c != "_number"],
-    )
+    places = annotate(numbered, ["length", "number"], kernel, "sequence_id long, offset long", ["row"])
+    new = ["sequence_id", "offset"]
+    carried = [F.col("row").getField(c).alias(c) for c in pieces.columns if c.lower() not in new]
+    return places.select(*carried, *new)
 
 
 def pack_documents(

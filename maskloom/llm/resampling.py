@@ -126,25 +126,44 @@ def take_largest(df: DataFrame, value: str, key: str, k: int, out: str = "sample
             above += row["count"]
         low = row["v"]
     # rows of this very value: the smallest keys
-    tied = df.where(column == low).groupBy(name(key).alias("_k")).count()
-    need = k - above
-    last = None
-    if tied.count() > 1:
-        last = _key_border(tied, need)
-    chosen = column > low
-    if need > 0:
-        chosen |= (column == low) & (F.lit(True) if last is None else name(key) <= F.lit(last))
-    return df.withColumn(out, F.coalesce(chosen, F.lit(False)))
-
-
-def _key_border(tied: DataFrame, need: int):
-    """The key at which the running number of rows reaches ``need``."""
-    above = 0
+    tied = column == low
+    last, need = _key_border(df.where(tied).groupBy(name(key).alias("_k")).count(), k - above)
+    at_border = tied & name(key).eqNullSafe(F.lit(last))
+    before = F.lit(False) if last is None else (name(key).isNull() | (name(key) < F.lit(last)))
+    chosen = F.coalesce((column > low) | (tied & before), F.lit(False))
+    edge = df.where(at_border)
+    if edge.count() == need:
+        return df.withColumn(out, chosen | F.coalesce(at_border, F.lit(False)))
+    rest = df.where(~F.coalesce(at_border, F.lit(False))).withColumn(out, chosen)
+    return rest.unionByName(_mark_some(edge, need, out))
+
+
+def _key_border(tied: DataFrame, need: int) -> tuple[object, int]:
+    """The key at which the running number of rows reaches ``need``, and how many of its rows are needed."""
     for row in tied.orderBy("_k").toLocalIterator():
-        above += row["count"]
-        if above >= need:
-            return row["_k"]
-    return row["_k"]
+        if row["count"] >= need:
+            break
+        need -= row["count"]
+    return row["_k"], need
+
+
+def _mark_some(rows: DataFrame, need: int, out: str) -> DataFrame:
+    """Mark ``need`` of many rows of one key and value, which differ at most in other columns.
+
+    They are numbered as they are written, so the choice stays whatever is read or repeated later; the driver sees how
+    many rows each task wrote.
+    """
+    number = "_number"
+    while number in rows.columns:
+        number += "_"
+    # numbers start at task * 2^33 and run on by one
+    rows = materialise(rows.withColumn(number, F.monotonically_increasing_id()), "ties")
+    counts = rows.groupBy(F.shiftright(number, 33).alias("task")).agg(F.count("*").alias("n")).orderBy("task")
+    for row in counts.toLocalIterator():
+        if row["n"] >= need:
+            break
+        need -= row["n"]
+    return rows.withColumn(out, F.col(number) < F.lit((row["task"] << 33) + need)).drop(number)
 
 
 def resample(
