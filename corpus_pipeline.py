@@ -43,10 +43,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8) the document with the smallest id stays."""
-    docs = spread(docs)
-    row = docs.select(F.struct("*").alias("doc"), "doc_id", "text")
-    found = near_dups.near_duplicates(row, "doc_id", "text", size=5, percent=80, keep=["doc"])
-    return near_dups.one_of_each(found, "doc_id").select("doc.*")
+    return near_dups.distinct_documents(spread(docs), "doc_id", "text", size=5, percent=80)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
