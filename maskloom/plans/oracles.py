@@ -76,6 +76,22 @@ firsts AS (SELECT sample, item, [2] || ids[1:510] || [3] AS w FROM enc)
 {then}"""
 
 
+def grams(table: str, key: str) -> str:
+    """Every run of eight words of a text with its place."""
+    return f"""SELECT {key}, unnest([array_to_string(w[i + 1:i + 8], ' ') FOR i IN range(0, len(w) - 7)]) AS g,
+ unnest(range(0, len(w) - 7)) AS pos FROM (SELECT {key}, regexp_extract_all(
+ translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table})
+ WHERE len(w) > 7"""
+
+
+# Passages of 13 words or more whose every eight words stand in a text of the benchmark, gram by gram.
+PASSAGES = f"""known AS (SELECT g, min(item_id) AS item FROM ({grams("benchmark", "item_id")}) GROUP BY g),
+held AS (SELECT doc_id, pos, g, item, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run
+ FROM ({grams("documents", "doc_id")}) JOIN known USING (g)),
+passages AS (SELECT doc_id, run, min(pos) AS "start", count(*) + 7 AS n_words, arg_min(item, pos) AS item
+ FROM held GROUP BY doc_id, run HAVING count(*) >= 6)"""
+
+
 def documents(then: str) -> str:
     return encoded(DOCUMENTS, then)
 
@@ -312,6 +328,15 @@ SELECT sample, item, n_tokens, round(ppl, 6) AS ppl FROM ({HELD_OUT}) LEFT JOIN
         "leak_text": f"""SELECT sha256(text) AS text_hash, count(*) FILTER (WHERE NOT t) AS n_train, 0::BIGINT AS n_validation,
  count(*) FILTER (WHERE t) AS n_test FROM (SELECT text, {TEST} AS t FROM documents)
  GROUP BY text HAVING count(DISTINCT t) > 1""",
+        "leak_passages": f"""WITH {PASSAGES} SELECT doc_id, "start", n_words, item FROM passages""",
+        "leaked_items": f"""WITH {PASSAGES},
+leaked AS (SELECT DISTINCT g FROM held JOIN passages USING (doc_id, run)),
+items AS ({grams("benchmark", "item_id")}),
+runs AS (SELECT item_id, count(*) AS n FROM (SELECT item_id, pos - row_number() OVER (PARTITION BY item_id ORDER BY pos) AS run
+ FROM items SEMI JOIN leaked USING (g)) GROUP BY item_id, run)
+SELECT item_id, (SELECT count(*) FROM items i WHERE i.item_id = b.item_id) AS n_grams,
+ coalesce((SELECT sum(n) FROM runs r WHERE r.item_id = b.item_id), 0)::BIGINT AS n_leaked,
+ coalesce((SELECT max(n) + 7 FROM runs r WHERE r.item_id = b.item_id), 0)::BIGINT AS longest FROM benchmark b""",
         "pretokenize": f"""SELECT doc_id, len(w) AS n_words, {joined('w')} AS words FROM (SELECT doc_id, {WORDS} AS w FROM documents)""",
         "word_counts": words_prefix("SELECT word, cnt FROM wc"),
         "wp_alphabet": words_prefix(

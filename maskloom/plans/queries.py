@@ -16,6 +16,7 @@ from maskloom.operators import (
     lookup,
     masking,
     ordering,
+    passages,
     scoring,
     splitting,
     summary,
@@ -348,6 +349,21 @@ def leak_text(spark: SparkSession, sf: str) -> DataFrame:
     return audit.shared_text(splitting.threshold_split(docs, "doc_id", test_size=0.1, seed=666))
 
 
+def _benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+
+
+@query
+def leak_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.shared_passages(_documents(spark, sf, "doc_id", "text"), _benchmark(spark, sf))
+
+
+@query
+def leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held_out = _documents(spark, sf, "doc_id", "text"), _benchmark(spark, sf)
+    return passages.leaked_items(docs, held_out, passages.shared_passages(docs, held_out))
+
+
 # Words, vocabulary, encoding
 
 
