@@ -45,13 +45,15 @@ def _border(keyed: DataFrame, wanted: int, digits: int = 2, most: int = 10_000)
     return last.agg(F.max("_draw")).first()[0]
 
 
-def _first_by_draw(df: DataFrame, key: str, seed: int | str, share: float, rounding: str) -> Column:
+def _first_by_draw(
+    df: DataFrame, key: str, seed: int | str, share: float, rounding: str, digits: int = 2, most: int = 10_000
+) -> Column:
     """True for the rows that come first in the seeded order, a share of them rounded to whole rows."""
     drawn = draw(seed, F.col(key))
     wanted = int((Decimal(str(share)) * df.count()).to_integral_value(rounding))
     if wanted == 0:
         return F.lit(False)
-    return drawn <= _border(df.select(drawn.alias("_draw")), wanted)
+    return drawn <= _border(df.select(drawn.alias("_draw")), wanted, digits, most)
 
 
 def exact_split(df: DataFrame, key: str, test_size: float, seed: int | str) -> DataFrame:

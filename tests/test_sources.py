@@ -99,3 +99,30 @@ def test_session_helpers(spark):
     wide = df.repartition(50)
     assert spread(wide, "id") is wide
     assert broadcast_if_small(df, 5) is df and broadcast_if_small(df, 10) is not df
+
+
+class _Cluster:
+    """A session's context under the name of a cluster's master."""
+
+    def __init__(self, context):
+        self._context, self.master = context, "spark://host:7077"
+
+    def __getattr__(self, name):
+        return getattr(self._context, name)
+
+
+def test_shared_dir_of_a_cluster_by_a_mounted_path(spark, tmp_path, monkeypatch):
+    class Session:
+        sparkContext, conf = _Cluster(spark.sparkContext), {"spark.checkpoint.dir": str(tmp_path)}
+
+    assert shared_dir(Session) == f"file:{tmp_path}"
+    Session.conf = {}
+    monkeypatch.setattr(Session.sparkContext, "getCheckpointDir", lambda: None, raising=False)
+    monkeypatch.setattr(Session.sparkContext, "setCheckpointDir", lambda path: None, raising=False)
+    monkeypatch.setattr(Session.sparkContext, "getConf", lambda: {}, raising=False)
+    with pytest.raises(ValueError):
+        shared_dir(Session)
+    monkeypatch.setattr(
+        Session.sparkContext, "getConf", lambda: {"spark.sql.warehouse.dir": str(tmp_path)}, raising=False
+    )
+    assert shared_dir(Session) == f"file:{tmp_path}"
