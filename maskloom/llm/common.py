@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskloom.session import BATCH_CONF, bound_batches  # noqa: F401
+
 ROWS = 512
 MEMO = 400_000
 
@@ -19,15 +21,6 @@ def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Whole texts and sets are large rows: unless the session says otherwise, 500 of them are a batch."""
-    if spark.conf.get(BATCH_CONF, None) is None:
-        spark.conf.set(BATCH_CONF, "500")
-
-
 def annotate(
     df: DataFrame, inputs: list[str], kernel: Callable, fields: str, keep: list[str] | None = None
 ) -> DataFrame:

@@ -1,12 +1,13 @@
 """Texts to token ids.
 
-Whole documents are encoded where they are read: the JVM splits words, and each Arrow batch looks up its distinct
-words in the broadcast vocabulary. Nothing is shuffled, so frequent words and long documents cost no more than
+Whole documents are encoded where they are read: the JVM splits words (texts of plain Latin characters only at blanks),
+and each Arrow batch looks up its distinct words or pieces in the broadcast vocabulary. Nothing is shuffled, so frequent words and long documents cost no more than
 their share. Distinct words alone are encoded by joins.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -18,29 +19,50 @@ from pyspark.sql import types as ST
 from maskloom.functions import text as T
 from maskloom.functions.bytepairs import merge_pairs, merge_table
 from maskloom.operators.vocabulary import CONTINUATION, Vocabulary
+from maskloom.session import bound_batches
 
 UNKNOWN = "[UNK]"
 LONGEST_WORD = 100
 IDS = ST.ArrayType(ST.IntegerType(), False)
 # Distinct words a task remembers between batches before it starts afresh.
-MEMORY = 500_000
+MEMORY = 200_000
+# Rows encoded at a time: the arrays of places need many times the memory of the texts.
+ROWS = 500
+
+
+def wordpiece_encoder(
+    tokens: dict[str, int], longest_piece: int, longest_word: int = LONGEST_WORD
+) -> Callable[[str], list[int]]:
+    """Longest match from the left; a word with an unmatched rest, or a longer word, is one unknown token."""
+    rest = {token[len(CONTINUATION) :]: i for token, i in tokens.items() if token.startswith(CONTINUATION)}
+    # continuations are mostly much shorter than whole words
+    longest_rest = min(longest_piece, max(map(len, rest), default=0))
+    unknown = tokens[UNKNOWN]
+
+    def encode(word: str) -> list[int]:
+        size = len(word)
+        if not 0 < size <= longest_word:
+            return [unknown]
+        ids: list[int] = []
+        start, known, longest = 0, tokens, longest_piece
+        while start < size:
+            end = min(size, start + longest)
+            while end > start and (found := known.get(word[start:end])) is None:
+                end -= 1
+            if end == start:
+                return [unknown]
+            ids.append(found)
+            start, known, longest = end, rest, longest_rest
+        return ids
+
+    return encode
 
 
 def wordpiece_ids(
     word: str, tokens: dict[str, int], longest_piece: int, longest_word: int = LONGEST_WORD
 ) -> list[int]:
-    """Longest match from the left; a word with an unmatched rest, or a longer word, is one unknown token."""
-    ids: list[int] = []
-    start = 0
-    while start < len(word) <= longest_word:
-        prefix = CONTINUATION if start else ""
-        stop = min(len(word), start + longest_piece)
-        end = next((e for e in range(stop, start, -1) if prefix + word[start:e] in tokens), None)
-        if end is None:
-            return [tokens[UNKNOWN]]
-        ids.append(tokens[prefix + word[start:end]])
-        start = end
-    return ids or [tokens[UNKNOWN]]
+    """The ids of one word."""
+    return wordpiece_encoder(tokens, longest_piece, longest_word)(word)
 
 
 def byte_level_ids(word: str, tokens: dict[str, int], merges: dict[int, int]) -> list[int]:
@@ -48,38 +70,45 @@ def byte_level_ids(word: str, tokens: dict[str, int], merges: dict[int, int]) ->
     return merge_pairs([tokens[letter] for letter in word], merges)
 
 
+def _encode_rows(words: pa.Array, memory: dict[str, bytes], to_ids: Callable[[str], list[int]]) -> pa.Array:
+    """The arrays of token ids of arrays of words."""
+    coded = words.flatten().dictionary_encode()
+    if len(memory) > MEMORY:
+        memory.clear()
+    entries = []
+    for word in coded.dictionary.to_pylist():
+        ids = memory.get(word)
+        if ids is None:
+            ids = memory[word] = array("i", to_ids(word)).tobytes()
+        entries.append(ids)
+    sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.frombuffer(b"".join(entries), np.int32)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+    # position of each output id inside the flat id list of its word
+    picks = np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[codes], sizes[codes])
+    rows = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(flat[picks], pa.int32()))
+
+
 def _encode_batches(
     batches: Iterator[pa.RecordBatch], column: str, out: str, to_ids: Callable[[str], list[int]]
 ) -> Iterator[pa.RecordBatch]:
     """Replace the word array ``column`` by the array ``out`` of token ids."""
-    memory: dict[str, list[int]] = {}
-    for batch in batches:
-        words = batch.column(column)
-        coded = words.flatten().dictionary_encode()
-        if len(memory) > MEMORY:
-            memory.clear()
-        entries = []
-        for word in coded.dictionary.to_pylist():
-            ids = memory.get(word)
-            if ids is None:
-                ids = memory[word] = to_ids(word)
-            entries.append(ids)
-        sizes = np.fromiter((len(e) for e in entries), np.int64, len(entries))
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.fromiter((i for e in entries for i in e), np.int32, int(starts[-1]))
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
-        # position of each output id inside the flat id list of its word
-        picks = np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[codes], sizes[codes])
-        rows = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-        encoded = pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(flat[picks], pa.int32()))
-        kept = [name for name in batch.schema.names if name != column]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], encoded], [*kept, out])
+    memory: dict[str, bytes] = {}
+    for whole in batches:
+        kept = [name for name in whole.schema.names if name != column]
+        for start in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(start, ROWS)
+            encoded = _encode_rows(batch.column(column), memory, to_ids)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], encoded], [*kept, out])
 
 
 def _encode(
     df: DataFrame, text: str, words: Column, out: str, make: Callable[[], Callable[[str], list[int]]]
 ) -> DataFrame:
+    bound_batches(df.sparkSession)
     kept = [c for c in df.columns if c != text]
     schema = ST.StructType([*[df.schema[c] for c in kept], ST.StructField(out, IDS)])
 
@@ -113,10 +142,11 @@ def encode_wordpiece(
 
     def make() -> Callable[[str], list[int]]:
         tokens, longest = shared.value
-        return lambda word: wordpiece_ids(word, tokens, longest, longest_word)
+        split, encode = T.words_of_piece(**normalisation), wordpiece_encoder(tokens, longest, longest_word)
+        return lambda piece: [i for word in split(piece) for i in encode(word)]
 
-    words = T.bert_words(F.col(text), special_tokens=special_tokens, **normalisation)
-    return _encode(df, text, words, out, make)
+    pieces = T.bert_pieces(F.col(text), special_tokens=special_tokens, **normalisation)
+    return _encode(df, text, pieces, out, make)
 
 
 def encode_byte_level(
@@ -145,9 +175,9 @@ def encode_words(counts: DataFrame, vocabulary: Vocabulary, longest_word: int =
     schema = ST.StructType([counts.schema["word"], counts.schema["cnt"], ST.StructField("ids", IDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, longest = shared.value
+        encode = wordpiece_encoder(*shared.value, longest_word)
         for batch in batches:
-            ids = [wordpiece_ids(w, tokens, longest, longest_word) for w in batch.column("word").to_pylist()]
+            ids = [encode(w) for w in batch.column("word").to_pylist()]
             columns = [batch.column("word"), batch.column("cnt"), pa.array(ids, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["word", "cnt", "ids"])
 

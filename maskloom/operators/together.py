@@ -289,7 +289,7 @@ def train(
 
 def train_wordpiece(df: DataFrame, vocab_size: int = 30_512, min_frequency: int = 2, text: str = "text", **options):
     """Train a WordPiece vocabulary on a text column."""
-    return train(V.word_counts(df, T.bert_words(F.col(text))), vocab_size, min_frequency, **options)
+    return train(V.bert_word_counts(df, text), vocab_size, min_frequency, **options)
 
 
 def train_byte_level(df: DataFrame, vocab_size: int = 30_512, min_frequency: int = 2, text: str = "text", **options):

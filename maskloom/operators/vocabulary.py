@@ -74,6 +74,17 @@ def word_counts(df: DataFrame, words: Column) -> DataFrame:
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
 
 
+def bert_word_counts(df: DataFrame, text: str = "text", **normalisation: bool) -> DataFrame:
+    """Occurrences of each word of ``bert_words``.
+
+    No word crosses a blank, so the pieces between blanks are counted first, and each distinct one is split into words
+    once.
+    """
+    pieces = df.select(F.explode(F.split(text, " ")).alias("_piece")).groupBy("_piece").agg(F.count("*").alias("_n"))
+    words = pieces.select(F.explode(T.bert_words(F.col("_piece"), **normalisation)).alias("word"), "_n")
+    return words.groupBy("word").agg(F.sum("_n").alias("cnt"))
+
+
 def character_counts(counts: DataFrame) -> DataFrame:
     """Occurrences of each character over all words."""
     chars = counts.select(F.explode(F.split("word", "")).alias("ch"), "cnt").where(F.col("ch") != "")
@@ -347,7 +358,7 @@ def train(
 
 def train_wordpiece(df: DataFrame, vocab_size: int = 30_512, min_frequency: int = 2, text: str = "text", **options):
     """Train a WordPiece vocabulary on a text column."""
-    counts = word_counts(df, T.bert_words(F.col(text))).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = bert_word_counts(df, text).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return train(counts, vocab_size, min_frequency, **options)
     finally:

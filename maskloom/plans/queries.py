@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +82,7 @@ def _train(df: DataFrame) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, sf: str) -> vocabulary.Vocabulary:
-    counts = vocabulary.word_counts(_train(_documents(spark, sf, "doc_id", "text")), T.bert_words(F.col("text")))
+    counts = vocabulary.bert_word_counts(_train(_documents(spark, sf, "doc_id", "text")))
     return vocabulary.basic_vocabulary(counts, N_WORDS, N_ENDINGS, WITHOUT)
 
 
@@ -91,6 +94,16 @@ def _text(ids: str) -> Column:
     return F.concat_ws(" ", F.col(ids).cast("array<string>"))
 
 
+def _md5_of_ids(ids: str) -> Column:
+    """MD5 of ``_text``, from whole Arrow batches: a string for each number would cost more than the digest."""
+
+    def digests(arrays: pa.Array) -> pa.Array:
+        texts = pc.binary_join(arrays.cast(pa.list_(pa.string())), " ").fill_null("")
+        return pa.array([md5(t.encode(), usedforsecurity=False).hexdigest() for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(digests, "string")(F.col(ids))
+
+
 # Sources
 
 
@@ -368,7 +381,7 @@ def leaked_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _word_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary.word_counts(_documents(spark, sf, "doc_id", "text"), T.bert_words(F.col("text")))
+    return vocabulary.bert_word_counts(_documents(spark, sf, "doc_id", "text"))
 
 
 @query
@@ -568,7 +581,7 @@ def mlm_mask_rates(spark: SparkSession, sf: str) -> DataFrame:
 def pppl_expand(spark: SparkSession, sf: str) -> DataFrame:
     encoded = encoding.encode_wordpiece(_held_out(spark, sf), _vocabulary(spark, sf))
     expanded = masking.expand_masks(windows.truncate_first(encoded), ITEM)
-    return expanded.select(*ITEM, "pos", "label", F.md5(_text("masked_ids")).alias("masked_md5"))
+    return expanded.select(*ITEM, "pos", "label", _md5_of_ids("masked_ids").alias("masked_md5"))
 
 
 def _bigrams(spark: SparkSession, sf: str, vocab: vocabulary.Vocabulary) -> DataFrame:
