@@ -17,6 +17,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from maskloom.functions.bytepairs import BatchMerger, merge_table
@@ -46,6 +47,8 @@ class Codec:
         self.final = np.array([ids[c + self.end] for c in self.letters])
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        # by id; a last entry for ids that are no token's
+        self.names = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 2)], pa.string())
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.joined = self._joined(ids)
         # for letters up to U+024F both engines know the same classes, and composing changes nothing
@@ -144,6 +147,17 @@ class Codec:
         found = map(self.tokens.get, ids)
         return " ".join([token for token in found if token is not None])
 
+    def decode_all(self, arrays: pa.ListArray) -> pa.Array:
+        """``decode`` of each array; null for a null array."""
+        ids = arrays.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        last = len(self.names) - 1
+        found = self.names.take(pa.array(np.where((ids >= 0) & (ids < last), ids, last)))
+        known = np.concatenate([[0], np.cumsum(found.is_valid().to_numpy(zero_copy_only=False))])
+        lengths = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = known[np.concatenate([[0], np.cumsum(lengths)])]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found.drop_null(), mask=arrays.is_null())
+        return pc.binary_join(lists, " ")
+
 
 def codec(vocabulary: str) -> Codec:
     """One codec a worker process."""
@@ -176,7 +190,7 @@ def decode(df: DataFrame, ids: str, vocabulary: str, keep: list[str] | None = No
         one = codec(vocabulary)
 
         def work(array):
-            return [pa.array([None if x is None else one.decode(x) for x in array.to_pylist()], pa.string())]
+            return [one.decode_all(array)]
 
         return work
 

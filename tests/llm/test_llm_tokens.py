@@ -351,3 +351,17 @@ def test_store_with_text_keys(spark, word):
         assert sorted(x for _, x in found[key]) == sorted(texts)
     missing = spark.createDataFrame([("doc-99", 0), ("doc-1", 9)], "key string, copy long")
     assert store.read(missing).count() == 0
+
+
+def test_arrays_are_decoded_as_one_by_one():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from maskloom.llm import byte_pairs
+    from maskloom.llm.library import read_vocabulary
+
+    codec = byte_pairs.codec(read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    special = list(codec.special.values())
+    rows = [[300, 5, 49_000], [], None, [-1, 10**9, 7], [*special, 1], [None, 320], [-5], list(range(2000))]
+    array = pa.array([[1, 2], *rows], pa.list_(pa.int32())).slice(1)
+    assert codec.decode_all(array).to_pylist() == [None if x is None else codec.decode(x) for x in rows]
