@@ -13,6 +13,7 @@ WORDS = "the quick brown fox jumps over a lazy dog and runs away from cold rain
 QUERIES = [
     "bigram_counts",
     "chunk_cap_100",
+    "comma_csv_roundtrip",
 ]
 
 
