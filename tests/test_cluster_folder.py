@@ -14,6 +14,7 @@ QUERIES = [
     "bigram_counts",
     "chunk_cap_100",
     "comma_csv_roundtrip",
+    "chunk_cap",
 ]
 
 
