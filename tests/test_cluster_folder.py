@@ -15,6 +15,7 @@ QUERIES = [
     "chunk_cap_100",
     "comma_csv_roundtrip",
     "chunk_cap",
+    "csv_roundtrip",
 ]
 
 
