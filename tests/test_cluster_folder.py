@@ -16,6 +16,7 @@ QUERIES = [
     "comma_csv_roundtrip",
     "chunk_cap",
     "csv_roundtrip",
+    "corpus_ppl",
 ]
 
 
