@@ -17,6 +17,7 @@ QUERIES = [
     "chunk_cap",
     "csv_roundtrip",
     "corpus_ppl",
+    "dense_index_text_key",
 ]
 
 
