@@ -18,6 +18,7 @@ QUERIES = [
     "csv_roundtrip",
     "corpus_ppl",
     "dense_index_text_key",
+    "leak_passages",
 ]
 
 
