@@ -19,6 +19,7 @@ QUERIES = [
     "corpus_ppl",
     "dense_index_text_key",
     "leak_passages",
+    "events_describe",
 ]
 
 
