@@ -20,6 +20,7 @@ QUERIES = [
     "dense_index_text_key",
     "leak_passages",
     "events_describe",
+    "leaked_items",
 ]
 
 
