@@ -21,6 +21,7 @@ QUERIES = [
     "leak_passages",
     "events_describe",
     "leaked_items",
+    "lookup_hot_keys",
 ]
 
 
