@@ -22,6 +22,7 @@ QUERIES = [
     "events_describe",
     "leaked_items",
     "lookup_hot_keys",
+    "legacy_corpus_capped",
 ]
 
 
