@@ -23,6 +23,7 @@ QUERIES = [
     "leaked_items",
     "lookup_hot_keys",
     "legacy_corpus_capped",
+    "model_compare",
 ]
 
 
