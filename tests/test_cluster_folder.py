@@ -24,6 +24,7 @@ QUERIES = [
     "lookup_hot_keys",
     "legacy_corpus_capped",
     "model_compare",
+    "padding_waste",
 ]
 
 
