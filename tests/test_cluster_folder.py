@@ -25,6 +25,7 @@ QUERIES = [
     "legacy_corpus_capped",
     "model_compare",
     "padding_waste",
+    "parquet_roundtrip",
 ]
 
 
