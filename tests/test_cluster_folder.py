@@ -26,6 +26,7 @@ QUERIES = [
     "model_compare",
     "padding_waste",
     "parquet_roundtrip",
+    "pad_dynamic",
 ]
 
 
