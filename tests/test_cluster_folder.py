@@ -27,6 +27,7 @@ QUERIES = [
     "padding_waste",
     "parquet_roundtrip",
     "pad_dynamic",
+    "ppl_describe",
 ]
 
 
