@@ -28,6 +28,7 @@ QUERIES = [
     "parquet_roundtrip",
     "pad_dynamic",
     "ppl_describe",
+    "pseudo_ppl_token",
 ]
 
 
