@@ -30,6 +30,7 @@ QUERIES = [
     "ppl_describe",
     "pseudo_ppl_token",
     "pseudo_ppl_batch4",
+    "quantiles_by_ranges",
 ]
 
 
