@@ -12,6 +12,7 @@ import __spark_entry__ as repo
 WORDS = "the quick brown fox jumps over a lazy dog and runs away from cold rain to its warm dry den".split()
 QUERIES = [
     "bigram_counts",
+    "byte_level_documents",
     "chunk_cap_100",
     "comma_csv_roundtrip",
     "chunk_cap",
