@@ -16,6 +16,7 @@ QUERIES = [
     "chunk_cap_100",
     "comma_csv_roundtrip",
     "chunk_cap",
+    "compare_tokens",
     "csv_roundtrip",
     "corpus_ppl",
     "dense_index_text_key",
