@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.session import broadcast_if_small, materialise
 
 
+def _named(column: str) -> Column:
+    """The column of exactly this name, which may have a dot."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def lookup(
     facts: DataFrame, table: DataFrame, keys: list[str], share: float = 1e-3, max_broadcast: int = 500_000
 ) -> DataFrame:
@@ -32,23 +37,23 @@ def lookup(
     if small.count() > int(1 / share) + 1:
         raise ValueError("the table repeats keys")
     ready = frequent.join(F.broadcast(small), keys, "left").withColumn("_ready", F.lit(True))
-    ready = ready.select(*keys, *[F.col(v).alias(f"_{v}") for v in values], "_ready")
+    ready = ready.select(*keys, *[_named(v).alias(f"_{v}") for v in values], "_ready")
     first = facts.join(F.broadcast(ready), keys, "left")
     done = F.coalesce("_ready", F.lit(False))
-    spread = F.when(done, F.xxhash64(*[F.col(c) for c in facts.columns])).otherwise(F.lit(0))
+    spread = F.when(done, F.xxhash64(*[_named(c) for c in facts.columns])).otherwise(F.lit(0))
     rest = table.select(
         *[F.col(k).alias(f"_key_{k}") for k in keys],
         F.lit(0).cast("long").alias("_spread_key"),
         F.lit(False).alias("_open"),
-        *[F.col(v).alias(f"_rest_{v}") for v in values],
+        *[_named(v).alias(f"_rest_{v}") for v in values],
     )
     tagged = first.withColumn("_done", done).withColumn("_spread", spread)
     condition = (F.col("_spread") == F.col("_spread_key")) & (F.col("_done") == F.col("_open"))
     for key in keys:
         condition &= F.col(key) == F.col(f"_key_{key}")
     joined = tagged.join(rest, condition, "left")
-    picked = [F.when(F.col("_done"), F.col(f"_{v}")).otherwise(F.col(f"_rest_{v}")).alias(v) for v in values]
-    return joined.select(*facts.columns, *picked)
+    picked = [F.when(F.col("_done"), _named(f"_{v}")).otherwise(_named(f"_rest_{v}")).alias(v) for v in values]
+    return joined.select(*[_named(c) for c in facts.columns], *picked)
 
 
 def semi_lookup(df: DataFrame, chosen: DataFrame, keys: list[str], max_rows: int = 100_000) -> DataFrame:
