@@ -39,3 +39,40 @@ def small_blocks(monkeypatch):
 
 def test_a_word_takes_few_bytes(small_blocks):
     assert held_bytes(20_000, LETTERS, "") - held_bytes(10_000, LETTERS, "") < 10_000 * 120
+
+
+def learn_in_threads(folder, parts, size, names=LETTERS):
+    """Merges that each of several tasks finds, with the mail and the pairs of each."""
+    found, mails, rankings = {}, {}, {}
+
+    def work(task):
+        own = together.Words()
+        for symbols, count in parts[task]:
+            own.add(symbols, count)
+        mails[task] = together.Mail(str(folder), task, len(parts))
+        rankings[task] = together.Ranking()
+        found[task] = together.learn_merges(own, names, [], size, 2, "", 10**6, mails[task], rankings[task])
+
+    threads = [threading.Thread(target=work, args=(task,)) for task in range(len(parts))]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join(120)
+    return found, rankings
+
+
+@pytest.mark.parametrize("named", [0, 2048])
+def test_tasks_own_parts_of_the_pairs(tmp_path, monkeypatch, named):
+    monkeypatch.setattr(together, "BEST", named)
+    words = random_words(3_000)
+    alone = together.Words()
+    for symbols, count in words:
+        alone.add(symbols, count)
+    merges, _ = together.learn_merges(alone, LETTERS, [], 400, 2, "", 10**6, lambda message: [message])
+    found, rankings = learn_in_threads(tmp_path, [words[task::3] for task in range(3)], 400)
+    assert [found[task][0] for task in range(3)] == [merges] * 3
+    held = [set(rankings[task].codes[rankings[task].counts > 0].tolist()) for task in range(3)]
+    assert not held[0] & held[1] and not held[1] & held[2] and not held[0] & held[2]
+    pairs = alone.pair_counts()[0]
+    assert set.union(*held) == set(pairs.tolist())
+    assert max(map(len, held)) < len(pairs) / 2
