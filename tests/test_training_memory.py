@@ -76,3 +76,8 @@ def test_tasks_own_parts_of_the_pairs(tmp_path, monkeypatch, named):
     pairs = alone.pair_counts()[0]
     assert set.union(*held) == set(pairs.tolist())
     assert max(map(len, held)) < len(pairs) / 2
+
+
+def test_a_word_with_continuations_takes_few_bytes(small_blocks):
+    start = [*LETTERS, *["##" + letter for letter in LETTERS]]
+    assert held_bytes(20_000, start, "##") - held_bytes(10_000, start, "##") < 10_000 * 120
