@@ -81,3 +81,27 @@ def test_tasks_own_parts_of_the_pairs(tmp_path, monkeypatch, named):
 def test_a_word_with_continuations_takes_few_bytes(small_blocks):
     start = [*LETTERS, *["##" + letter for letter in LETTERS]]
     assert held_bytes(20_000, start, "##") - held_bytes(10_000, start, "##") < 10_000 * 120
+
+
+@pytest.mark.parametrize("kind", ["uint16", "uint32"])
+def test_kept_words_go_on_where_they_ended(tmp_path, kind):
+    import numpy as np
+
+    kind = getattr(np, kind)
+    own, ranking = together.Words(kind), together.Ranking()
+    for symbols, count in random_words(2_000):
+        own.add(symbols, count)
+    whole = together.Words()
+    for symbols, count in random_words(2_000):
+        whole.add(symbols, count)
+    want, _ = together.learn_merges(whole, LETTERS, [], 300, 2, "", 10**6, lambda message: [message])
+    first, _ = together.learn_merges(own, LETTERS, [], 300, 2, "", 40, lambda message: [message], ranking)
+    together._keep(str(tmp_path / "words"), own, ranking)
+    words, counts = together._kept(str(tmp_path / "words"), kind)
+    names = list(LETTERS)
+    for left, right in first:
+        if names[left] + names[right] not in names:
+            names.append(names[left] + names[right])
+    second, _ = together.learn_merges(words, names, [], 300, 2, "", 10**6, lambda message: [message], counts)
+    assert first + second == want and 40 <= len(first) < len(want)
+    assert [p.name for p in tmp_path.iterdir()] == ["words"]
