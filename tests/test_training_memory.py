@@ -105,3 +105,23 @@ def test_kept_words_go_on_where_they_ended(tmp_path, kind):
     second, _ = together.learn_merges(words, names, [], 300, 2, "", 10**6, lambda message: [message], counts)
     assert first + second == want and 40 <= len(first) < len(want)
     assert [p.name for p in tmp_path.iterdir()] == ["words"]
+
+
+def test_a_task_reads_what_is_meant_for_it(tmp_path):
+    heard = {}
+
+    def work(task):
+        mail = together.Mail(str(tmp_path), task, 3)
+        for turn in range(5):
+            dealt = mail.deal([f"{turn} {task} to {other}".encode() for other in range(3)])
+            heard[turn, task] = sorted(dealt), sorted(mail(f"{turn} {task}".encode()))
+
+    threads = [threading.Thread(target=work, args=(task,)) for task in range(3)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join(60)
+    for (turn, task), (dealt, told) in heard.items():
+        assert dealt == [f"{turn} {other} to {task}".encode() for other in range(3)]
+        assert told == [f"{turn} {other}".encode() for other in range(3)]
+    assert len(heard) == 15 and len(list(tmp_path.iterdir())) == 3
